@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlex.llm import bpe, token_counts
+from textlex.llm import bpe, exact_dedup, shards, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -31,5 +31,43 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts)}
-ORACLE: dict[str, str] = {}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.slots(table(spark, sf_dir, "documents"), n_shards=40)
+
+
+#: The listed entries: host, path, verdict.
+URL_ENTRIES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame(URL_ENTRIES, "rule_host string, rule_path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), entries, keep=["page_id"])
+
+
+OP8_SQL = f"""
+WITH entries(rule_host, rule_path, verdict) AS (VALUES {", ".join(map(str, URL_ENTRIES))}),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+ranked AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'allow') AS verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) AS k
+  FROM parsed LEFT JOIN entries ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, verdict FROM ranked WHERE k = 1
+"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts, op6_exact_dedup, op7_shards, op8_url_filter)}
+ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
