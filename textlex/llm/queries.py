@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlex.llm import bpe, exact_dedup, shards, substring_dedup, token_counts, url_filter
+from textlex.llm import bpe, exact_dedup, imatch, shards, substring_dedup, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -69,10 +69,14 @@ ranked AS (
 SELECT page_id, host, path, rule, verdict FROM ranked WHERE k = 1
 """
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.with_next(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts, op6_exact_dedup, op7_shards, op8_url_filter, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts, op6_exact_dedup, op7_shards, op8_url_filter, op9_imatch, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
