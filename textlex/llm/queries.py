@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlex.llm import bpe, exact_dedup, imatch, shards, substring_dedup, token_counts, url_filter
+from textlex.llm import bpe, exact_dedup, imatch, language_id, shards, substring_dedup, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -26,6 +26,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path(WORD_BPE))
@@ -78,5 +82,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts, op6_exact_dedup, op7_shards, op8_url_filter, op9_imatch, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_token_counts, op6_exact_dedup, op7_shards, op8_url_filter, op9_imatch, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
