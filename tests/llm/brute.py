@@ -17,3 +17,43 @@ def substring(docs, window):
         stay = " ".join(x for k, x in enumerate(w) if k not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(stay.encode()).hexdigest())
     return out
+
+
+def near(docs, threshold=0.8):
+    """doc_id -> least doc_id of its class, by weighted Jaccard of all pairs that share a shingle."""
+    from textlex.llm import near_dedup as nd
+
+    hasher = nd.Hasher()
+    sets, by_name, df = {}, {}, nd.np.zeros(nd.SLOTS)
+    for i, t in docs:
+        g, _, tf, whole, n = nd.shingles(hasher, [t])
+        df += nd.np.bincount(nd.slot(g), minlength=nd.SLOTS)
+        sets[i] = (g, tf)
+        by_name.setdefault(whole[0] if n[0] else t or "", []).append(i)
+    idf = nd.idf_table(df, len(docs))
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def join(i, j):
+        i, j = sorted((root(i), root(j)))
+        parent[j] = i
+
+    for group in by_name.values():
+        for j in group[1:]:
+            join(group[0], j)
+    leads = [g[0] for g in by_name.values()]
+    holders, links = {}, set()
+    for i in leads:
+        for g in sets[i][0].tolist():
+            holders.setdefault(g, []).append(i)
+    pairs = {(a, b) for h in holders.values() if len(h) < 400 for k, a in enumerate(h) for b in h[:k]}
+    for a, b in pairs:
+        w = [(sets[x][0], idf[nd.slot(sets[x][0])] * sets[x][1].astype(nd.np.float32)) for x in (a, b)]
+        if nd.similarity(*w) >= threshold:
+            links.add((a, b))
+            join(a, b)
+    return {i: root(i) for i, _ in docs}, links

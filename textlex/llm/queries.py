@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlex.llm import bpe, exact_dedup, imatch, language_id, shards, substring_dedup, token_counts, url_filter
+from textlex.llm import bpe, exact_dedup, imatch, language_id, near_dedup, shards, substring_dedup, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -35,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(WORD_BPE))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,5 +86,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_token_counts, op6_exact_dedup, op7_shards, op8_url_filter, op9_imatch, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op6_exact_dedup, op7_shards, op8_url_filter, op9_imatch, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}

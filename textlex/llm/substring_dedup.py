@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from textlex.llm.arrow import slices
 from textlex.llm.tables import written
-from textlex.llm.words import Hasher, mix, windows
+from textlex.llm.words import Hasher, mix, of_sequences, windows
 
 WINDOW, PERIOD, COVER = 35, 21, (3, 6, 7, 12, 14)
 CHUNK = 1_000_000
@@ -135,11 +135,7 @@ def _whole_texts(window: int):
         hasher = Hasher(unchanged=True, stream=1)
         for part in slices(batches):
             h, text, *_ = hasher.words(part.column("text").to_pylist())
-            n = np.bincount(text, minlength=part.num_rows).astype(np.uint64)
-            start = np.searchsorted(text, np.arange(part.num_rows + 1))
-            nth = (np.arange(len(h)) - start[text]).astype(np.uint64)
-            total = np.concatenate(([np.uint64(0)], np.cumsum(mix(h + nth * np.uint64(0x9E3779B97F4A7C15)))))
-            whole = mix(total[start[1:]] - total[start[:-1]] + n)
+            whole, n = of_sequences(h, text, part.num_rows)
             take = n >= window
             yield pa.RecordBatch.from_arrays([pa.array(whole[take].view(np.int64)), part.column("key").filter(pa.array(take))], names=["h", "key"])
 

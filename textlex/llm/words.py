@@ -104,3 +104,12 @@ def windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np
         out = out * factor + h[k : k + n]
     at = np.flatnonzero(text[:n] == text[width - 1 :])
     return mix(out[at]), at
+
+
+def of_sequences(h: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each text's whole sequence of words, and its number of words."""
+    start = np.searchsorted(text, np.arange(n_texts + 1))
+    nth = (np.arange(len(h)) - start[text]).astype(U64)
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h + nth * U64(0x9E3779B97F4A7C15)))))
+    n = np.diff(start)
+    return mix(total[start[1:]] - total[start[:-1]] + n.astype(U64)), n
