@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlex.llm import bpe, exact_dedup, imatch, language_id, near_dedup, shards, substring_dedup, token_counts, url_filter
+from textlex.llm import bpe, exact_dedup, imatch, language_id, mixing, near_dedup, shards, substring_dedup, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -39,6 +39,16 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Shares of the tokens of the mixture.
+TARGETS = {"high": 0.7, "low": 0.3, "toxic": 0.0}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.train(docs, mixing.by_quality(table(spark, sf_dir, "labels")))
+    return mixing.rates(docs, model, TARGETS)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -86,5 +96,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op6_exact_dedup, op7_shards, op8_url_filter, op9_imatch, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_token_counts, op4_near_dedup, op5_mixing, op6_exact_dedup, op7_shards, op8_url_filter, op9_imatch, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
