@@ -1,8 +1,8 @@
 """Operator 5: mixing sources to target weights by soft membership, in DataFrame functions only.
 
-A naive Bayes classifier over hashed features (words in lower case, and runs of capitals and marks) learns
-the domains of a labelled table; features that don't tell a domain from the others with Z standard errors
-count nothing. It gives each document a posterior probability of each domain. Then nonnegative rates r of
+A naive Bayes classifier over features (words in lower case, and runs of marks with an A for capitals) learns
+the domains of a labelled table; only features that tell some domain from the others (a log-likelihood ratio
+of TELLING) and that at most COMMON of all documents have count (the presence of common words tells the length), and the frequencies of each domain are shrunk towards those of all by SHRINK documents. It gives each document a posterior probability of each domain. Then nonnegative rates r of
 the documents are fitted so that the expected tokens of each domain, sum of p * n * r, match target
 totals: projected gradient steps on the squared relative errors, r <- max(0, r - sum over d of p_d *
 (m_d - t_d) / s_d), from r = 1, s_d being the domain's expected tokens. Each step is one distributed sum for
@@ -10,7 +10,7 @@ each domain over the different posteriors (rounded to three places) with their t
 expression of its posteriors and the steps' few errors, so the rates are never gathered or shuffled.
 
 The classifier is fitted on a bounded sample: about SAMPLE labelled documents, chosen by a hash of the id,
-which also bounds what is broadcast. Its weights have a fixed number of buckets. Everything else covers all
+which also bounds what is broadcast. It keeps the most telling feature of each of BUCKETS buckets. Everything else covers all
 documents.
 
 Defined cases: null counts as empty, with no tokens; a document without features gets the prior. A domain
@@ -29,14 +29,24 @@ from pyspark.sql import functions as F
 from textlex.llm.arrow import kept
 from textlex.llm.tables import written
 
-BUCKETS, SAMPLE, Z, STEPS, CLOSE = 1 << 16, 20_000, 4.0, 40, 1e-3
+BUCKETS, SAMPLE, TELLING, COMMON, SHRINK, STEPS, CLOSE = 1 << 16, 20_000, 24.0, 0.1, 10.0, 40, 1e-3
 
 
 def _features(text: Column) -> Column:
-    """Buckets of a text's words and marks."""
+    """Hashes of a text's different words and marks."""
     text = F.coalesce(text, F.lit(""))
-    tokens = F.concat(F.split(F.lower(text), r"[^\p{L}]+"), F.split(text, r"[\p{Ll}\p{N}\s]+"))
-    return F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    marks = F.split(F.regexp_replace(text, r"\p{Lu}+", "A"), r"[\p{Ll}\p{N}\s]+")
+    tokens = F.concat(F.split(F.lower(text), r"[^\p{L}]+"), marks)
+    return F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))
+
+
+def _bucket(feature: Column) -> Column:
+    return F.pmod(feature, F.lit(BUCKETS)).cast("int")
+
+
+def _literal(values: dict[int, float | int], kind: str) -> Column:
+    """An array with a value for each bucket, 0 where none is given, as one literal."""
+    return F.split(F.lit(",".join(f"{values.get(b, 0):.10g}" if kind == "double" else str(values.get(b, 0)) for b in range(BUCKETS))), ",").cast(f"array<{kind}>")
 
 
 def n_words(text: Column) -> Column:
@@ -44,17 +54,18 @@ def n_words(text: Column) -> Column:
 
 
 class Classifier:
-    """domains, their log priors, and for each the buckets' weights as one literal."""
+    """domains, their log priors, the feature (hash) of each bucket, and for each domain its weights by bucket."""
 
-    def __init__(self, domains: list[str], priors: list[float], weights: list[dict[int, float]]):
+    def __init__(self, domains: list[str], priors: list[float], features: dict[int, int], weights: list[dict[int, float]]):
         self.domains, self.priors = domains, priors
-        self._arrays = [F.split(F.lit(",".join(f"{w.get(b, 0):.5g}" for b in range(BUCKETS))), ",").cast("array<double>") for w in weights]
+        self._features, self._weights = _literal(features, "long"), [_literal(w, "double") for w in weights]
 
     def posteriors(self, df: DataFrame, text: str = "text") -> DataFrame:
         """df with a column p_<domain> for each domain."""
-        df = df.withColumn("_buckets", F.array_distinct(_features(F.col(text))))
-        score = lambda a: F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.element_at(a, b + 1))
-        df = df.withColumn("_scores", F.array(*[F.lit(p) + score(a) for p, a in zip(self.priors, self._arrays, strict=True)])).drop("_buckets")
+        listed = F.filter(_features(F.col(text)), lambda h: F.element_at(self._features, _bucket(h) + 1) == h)
+        df = df.withColumn("_buckets", F.transform(listed, _bucket))
+        score = lambda w: F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.element_at(w, b + 1))
+        df = df.withColumn("_scores", F.array(*[F.lit(p) + score(a) for p, a in zip(self.priors, self._weights, strict=True)])).drop("_buckets")
         df = df.withColumn("_top", F.array_max("_scores"))
         df = df.withColumn("_odds", F.transform("_scores", lambda s: F.exp(F.greatest(s - F.col("_top"), F.lit(-700.0))))).drop("_scores", "_top")
         total = F.aggregate("_odds", F.lit(0.0), lambda s, x: s + x)
@@ -69,26 +80,30 @@ def train(df: DataFrame, labelled: DataFrame, sample: int = SAMPLE, doc_id: str
         raise ValueError("no labelled documents")
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, sample / total) * 1_000_000))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    docs = docs.select("domain", F.array_distinct(_features(F.col("text"))).alias("buckets"))
-    counts = written(docs.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")), "features")
+    # copies say nothing new, but would make all words of their text telling
+    docs = docs.select("domain", F.array_sort(_features(F.col("text"))).alias("found"))
+    docs = docs.groupBy("domain", F.xxhash64("found").alias("h")).agg(F.first("found").alias("found"))
+    counts = written(docs.select("domain", F.explode("found").alias("feature")).groupBy("domain", "feature").agg(F.count(F.lit(1)).alias("n")), "features")
     sizes = {r.domain: r["count"] for r in docs.groupBy("domain").count().collect()}
     domains = sorted(sizes)
     if len(domains) > 64:
         raise ValueError("more than 64 domains")
     n_docs = sum(sizes.values())
-    table = counts.groupBy("bucket").pivot("domain", domains).agg(F.sum("n"))
+    table = counts.groupBy("feature").pivot("domain", domains).agg(F.sum("n"))
     c = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0)) for d in domains}
     every = sum(c.values(), F.lit(0))
-    columns = []
+    whole = every / n_docs
+    columns, score = [], F.lit(0.0)
     for d in domains:
-        rest = max(n_docs - sizes[d], 1)
-        mine, other = (c[d] + 0.5) / (sizes[d] + 1.0), (every - c[d] + 0.5) / (rest + 1.0)
-        gap = F.log(mine / other)
-        error = F.sqrt(1 / (c[d] + 0.5) + 1 / (every - c[d] + 0.5))
-        columns.append(F.when(F.abs(gap) >= Z * error, gap).otherwise(0.0).alias(f"w_{d}"))
-    found = table.select("bucket", *columns).collect()  # BUCKETS rows at most
-    weights = [{r.bucket: r[f"w_{d}"] for r in found if r[f"w_{d}"]} for d in domains]
-    return Classifier(domains, [math.log(sizes[d] / n_docs) for d in domains], weights)
+        share = sizes[d] / n_docs
+        part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+        score = F.greatest(score, 2 * (part(c[d], every * share) + part(every - c[d], every * (1 - share))))
+        columns.append(F.log((c[d] + SHRINK * whole) / (sizes[d] + SHRINK) / whole).alias(f"w_{d}"))
+    table = table.withColumn("score", score).filter((F.col("score") >= TELLING) & (whole <= COMMON))
+    best = table.select(_bucket(F.col("feature")).alias("bucket"), F.struct("score", "feature", *columns).alias("f"))
+    found = best.groupBy("bucket").agg(F.max("f").alias("f")).collect()  # BUCKETS rows at most
+    weights = [{r.bucket: r.f[f"w_{d}"] for r in found} for d in domains]
+    return Classifier(domains, [math.log(sizes[d] / n_docs) for d in domains], {r.bucket: r.f.feature for r in found}, weights)
 
 
 def rate(domains: list[str], steps: list[list[float]]) -> Column:
