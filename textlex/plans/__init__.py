@@ -1,0 +1,6 @@
+"""All queries by name, and the SQL that gives the same rows."""
+
+from textlex.plans import documents
+
+QUERIES = {**documents.QUERIES}
+ORACLE = {**documents.ORACLE}
