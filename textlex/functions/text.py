@@ -177,7 +177,7 @@ def general_category(char: pd.Series) -> pd.Series:
 
 
 def map_part_of_speech(morphology: Column) -> Column:
-    tag = F.substring(F.filter(morphology, lambda m: m.startswith("po:"))[0], 4, 1000)
+    tag = F.substring(F.get(F.filter(morphology, lambda m: m.startswith("po:")), 0), 4, 1000)
     out = F.coalesce(tag, F.lit("unknown"))
     #: Tags of each part of speech.
     for name, tags in {

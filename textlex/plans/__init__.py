@@ -1,6 +1,6 @@
 """All queries by name, and the SQL that gives the same rows."""
 
-from textlex.plans import documents
+from textlex.plans import documents, lexical
 
-QUERIES = {**documents.QUERIES}
-ORACLE = {**documents.ORACLE}
+QUERIES = {**documents.QUERIES, **lexical.QUERIES}
+ORACLE = {**documents.ORACLE, **lexical.ORACLE}
