@@ -12,12 +12,13 @@ For a shingle of weight 1 the sample's rank depends on the hash alone and is loo
 
 No group is expanded into all pairs:
 1. Texts with the same words are one node (64-bit hash of the whole sequence).
-2. Each bucket's members are compared with the bucket's least node, and components formed.
-3. In buckets where several components remain, members of different components are compared: all of them in
-   buckets of up to SMALL nodes, so that a node has at most SMALL - 1 partners there; larger buckets are dealt
-   again by a second band that must agree too, and each part compared with the least node of each component
-   but its own. A pair of similarity 0.8 shares two of the 16 bands with a probability of 99.7 %.
-4. Components are formed again from all links.
+2. Each bucket's members are compared with its lead, the node that shares most buckets with others (the copy
+   nearest to the original, if there is one), and components are formed.
+3. In buckets of up to SMALL nodes all members of different components are compared, so that a node has at most
+   SMALL - 1 partners there. In larger ones those that aren't in the lead's component get a lead of their own and
+   are compared with it, ROUNDS - 1 times. So the work grows with the number of memberships, not with the
+   square of a bucket. Two nodes of a large bucket neither of which is like any lead that it meets in its 16
+   bands are not compared.
 
 Defined cases: texts of one to four words are linked to texts with the same words only, and texts without
 words (null counts as empty) to equal ones. The class id is the least doc_id of the class; that row stays, and one of several
@@ -39,7 +40,7 @@ from textlex.llm.components import components
 from textlex.llm.tables import written
 from textlex.llm.words import U64, Hasher, mix, of_sequences, windows
 
-WIDTH, THRESHOLD, BANDS, ROWS, SLOTS, COMMON, SMALL = 5, 0.8, 16, 4, 1 << 16, 0.1, 50
+WIDTH, THRESHOLD, BANDS, ROWS, SLOTS, COMMON, SMALL, ROUNDS = 5, 0.8, 16, 4, 1 << 16, 0.1, 16, 3
 HASHES = BANDS * ROWS
 
 
@@ -199,6 +200,16 @@ def _pairs(table: DataFrame) -> DataFrame:
     return table.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _across(members: DataFrame, found: DataFrame, small: int) -> DataFrame:
+    """Pairs of nodes in different components of buckets of up to `small` nodes."""
+    few = members.filter(F.col("n") <= small).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = few.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+    few = few.join(several, "bucket")
+    one = few.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu"))
+    other = few.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
+    return one.join(other, "bucket").filter("cu < cv").select("u", "v")
+
+
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """A row for each document: doc_id, class_id, class_size, n_links (of its text, to different texts), kept."""
     spark = df.sparkSession
@@ -214,30 +225,32 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     nodes = named.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    shared = written(shared, "buckets")
+    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = written(members.join(shared, "bucket"), "members")
-
-    pairs = written(_pairs(members.select(F.col("least").alias("u"), F.col("node").alias("v"))), "pairs")
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("first")), "node")
+    central = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    wanted = central.join(nodes.select("node", F.col("doc_id").alias("first")), "node").select("node", "first")
     bodies = docs.mapInArrow(_named_texts, "doc_id long, node long, body binary").join(wanted, "node")
     bodies = written(bodies.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "body").dropDuplicates(["node"]), "texts")
-    links = _links(pairs, bodies, table, threshold)
-    found = components(links)
-
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    labelled = written(labelled.join(open_buckets, "bucket"), "open-members")
-    few = labelled.filter(F.col("n") <= small).select("bucket", "node", "component")
-    one, other = few.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu")), few.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
-    more = one.join(other, "bucket").filter("cu < cv").select("u", "v")
-    many = labelled.filter(F.col("n") > small).select("node", "component", "bucket")
-    parts = many.join(nodes.select("node", F.explode("bands").alias("second")), "node").filter("second <> bucket").select("node", "component", F.xxhash64("bucket", "second").alias("part"))
-    leads = parts.groupBy("part", "component").agg(F.min("node").alias("u")).withColumnRenamed("component", "cu")
-    more = more.unionByName(parts.withColumnRenamed("node", "v").join(leads, "part").filter("cu <> component").select("u", "v"))
-    more = written(_pairs(more).join(pairs, ["u", "v"], "left_anti"), "pairs")
-    links = links.unionByName(_links(more, bodies, table, threshold))
-    found = written(components(links), "components")
+
+    left = members.join(central, "node")
+    tested = links = found = None
+    for turn in range(ROUNDS):
+        leads = left.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"))
+        led = written(left.join(leads, "bucket"), "led")
+        pairs = _pairs(led.select(F.col("lead").alias("u"), F.col("node").alias("v")))
+        if turn == 1:  # whole small buckets; what is left of large ones has a new lead
+            pairs = pairs.unionByName(_pairs(_across(members, found, small))).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = written(pairs, "pairs")
+        new = _links(pairs, bodies, table, threshold)
+        tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
+        found = written(components(links), "components")
+        if turn < ROUNDS - 1:
+            of_lead = found.select(F.col("node").alias("lead"), F.col("component").alias("c"))
+            rest = led.filter("node <> lead").join(found, "node", "left").join(of_lead, "lead", "left")
+            rest = rest.filter("component is null or c is null or component <> c").select("bucket", "node", "n", "weight")
+            left = written(rest.filter(F.col("n") > small), "left")
 
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = named.groupBy("doc_id", "node").agg(F.count(F.lit(1)).cast("int").alias("rows"))
