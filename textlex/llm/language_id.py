@@ -155,9 +155,10 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     shares = counts.join(totals, ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
     typical = shares.withColumn("top", F.max("share").over(W.partitionBy("size", "h"))).filter(F.col("share") >= MIN_RATIO * F.col("top"))
     rank = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "h"))
-    found = typical.withColumn("rank", rank).filter(F.col("rank") <= per_size).select("lang", "h").toArrow()  # a bounded number
-    name, h = np.array(found.column("lang").to_pylist(), object), found.column("h").to_numpy().view(U64)
-    return Filter(languages, [h[name == x] for x in languages])
+    best = typical.withColumn("rank", rank).filter(F.col("rank") <= per_size)
+    found = best.groupBy("lang").agg(F.collect_list("h").alias("h")).toArrow()  # bounded: `per_size` of each size
+    keys = {name: h.values.to_numpy().view(U64) for name, h in zip(found.column("lang").to_pylist(), found.column("h"), strict=True)}
+    return Filter(languages, [keys.get(x, np.zeros(0, U64)) for x in languages])
 
 
 def identify(df: DataFrame, model: Filter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", drop_text: bool = True) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from textlex.llm.arrow import kept
 from textlex.llm.tables import written
 
-BUCKETS, SAMPLE, TELLING, COMMON, SHRINK, STEPS, CLOSE = 1 << 16, 20_000, 24.0, 0.1, 10.0, 40, 1e-3
+BUCKETS, SAMPLE, TELLING, COMMON, SHRINK, STEPS, CLOSE = 1 << 12, 20_000, 24.0, 0.1, 10.0, 25, 1e-3
 
 
 def _features(text: Column) -> Column:
@@ -107,11 +107,15 @@ def train(df: DataFrame, labelled: DataFrame, sample: int = SAMPLE, doc_id: str
 
 
 def rate(domains: list[str], steps: list[list[float]]) -> Column:
-    """A document's rate from its posteriors after the steps taken."""
-    r = F.lit(1.0)
-    for errors in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * e for d, e in zip(domains, errors, strict=True)), F.lit(0.0)))
-    return F.round(r, 6)
+    """A document's rate from its posteriors after the steps taken.
+
+    The steps are one array literal, so that the code Spark generates is the same whatever their values.
+    """
+    p = F.array(*[F.col(f"p_{d}") for d in domains])
+    moved = lambda e: F.aggregate(F.zip_with(p, e, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    taken = F.split(F.lit(";".join(",".join(map(repr, errors)) for errors in steps)), ";") if steps else F.array().cast("array<string>")
+    history = F.transform(taken, lambda t: F.split(t, ",").cast("array<double>"))
+    return F.round(F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - moved(e))), 6)
 
 
 def fit(features: DataFrame, domains: list[str], targets: dict[str, float] | None = None, drop: tuple[str, ...] = (), steps: int = STEPS, close: float = CLOSE) -> list[list[float]]:

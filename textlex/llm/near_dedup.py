@@ -40,7 +40,7 @@ from textlex.llm.components import components
 from textlex.llm.tables import written
 from textlex.llm.words import U64, Hasher, mix, of_sequences, windows
 
-WIDTH, THRESHOLD, BANDS, ROWS, SLOTS, COMMON, SMALL, ROUNDS = 5, 0.8, 16, 4, 1 << 16, 0.1, 16, 3
+WIDTH, THRESHOLD, BANDS, ROWS, SLOTS, COMMON, SMALL, ROUNDS = 5, 0.8, 16, 4, 1 << 16, 0.1, 16, 2
 HASHES = BANDS * ROWS
 
 
