@@ -68,6 +68,6 @@ def n_tokens(ids: Column) -> Column:
 
 def unpack(ids: Column) -> Column:
     """An array<long> of packed token numbers."""
-    digits = lambda k: F.hex(F.substring(ids, k * 4 + 1, F.lit(4)))
-    number = lambda k: F.conv(F.concat(*[F.substring(digits(k), at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long")
-    return F.when(n_tokens(ids) == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), (n_tokens(ids) - 1).cast("int")), number))
+    digits = F.regexp_extract_all(F.hex(ids), F.lit(".{8}"), F.lit(0))
+    number = lambda d: F.conv(F.concat(*[F.substring(d, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long")
+    return F.transform(digits, number)
