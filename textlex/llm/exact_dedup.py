@@ -30,10 +30,17 @@ HOT_SHARE, HOT_ROWS = 1000, 200
 NONE = -(1 << 62)
 
 
+def _cut(df: DataFrame, source: str, size: int, place: str, piece: str) -> DataFrame:
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(source) / size)).cast("int")
+    each = df.withColumn(place, F.explode(F.sequence(F.lit(0), n - 1)))
+    return each.withColumn(piece, F.substring(F.col(source), F.col(place) * size + 1, F.lit(size))).drop(source)
+
+
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
+    """Cut in two steps, as each cut copies what it cuts from: a very long text is copied once for each 64 blocks."""
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block)).cast("int")
-    cut = docs.withColumn("n_blocks", n).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return cut.withColumn("block", F.substring(F.col("body"), F.col("place") * block + 1, F.lit(block))).drop("body")
+    cut = _cut(_cut(docs.withColumn("n_blocks", n), "body", 64 * block, "part", "piece"), "piece", block, "inner", "block")
+    return cut.withColumn("place", F.col("part") * 64 + F.col("inner")).drop("part", "inner")
 
 
 def _hot(blocks: DataFrame) -> DataFrame | None:
