@@ -56,8 +56,8 @@ def sentences(text: Column) -> Column:
 
 
 def document_key(text: Column) -> Column:
-    """Form in which equal documents are the same: composed, line feeds only, lines and ends trimmed."""
-    lines = F.regexp_replace(nfc(text), r"\r\n?", "\n")
+    """Form in which equal documents are the same: composed, line feeds only, lines and ends trimmed; null counts as empty."""
+    lines = F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
     return F.regexp_replace(F.regexp_replace(lines, rf"(?m)[{WHITE_SPACE.replace(chr(92) + 'x{9}-' + chr(92) + 'x{D}', chr(92) + 'x{9}' + chr(92) + 'x{B}-' + chr(92) + 'x{D}')}]+$", ""), r"^\n+|\n+$", "")
 
 
