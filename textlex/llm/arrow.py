@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,11 +20,31 @@ def kept(df: DataFrame, added: list[str], drop: tuple[str, ...] = ()) -> list[st
     return [c for c in df.columns if c.lower() not in gone]
 
 
+#: Rows of an Arrow batch that Spark sends to Python, where the session has its default of 10,000.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark) -> None:
+    """Texts are long, so fewer of them go to a Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system; the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Short batches; none for empty ones."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    del batches
+    release()
 
 
 def with_columns(df: DataFrame, text: str, added: T.StructType, make: Callable[[], Callable], drop_text: bool = True) -> DataFrame:
@@ -33,6 +55,7 @@ def with_columns(df: DataFrame, text: str, added: T.StructType, make: Callable[[
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     keep = kept(df, added.names, (text,) if drop_text else ())
     out = T.StructType([df.schema[c] for c in keep] + list(added))
     types = [f.type for f in to_arrow_schema(added)]

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlex.llm.arrow import slices
+from textlex.llm.arrow import slices, small_batches
 from textlex.llm.tables import written
 from textlex.llm.words import U64, Hasher, mix
 
@@ -71,6 +71,7 @@ def _counts(batches):
 def lexicon(df: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
     """Sorted hashes of the terms in the band."""
     total = df.select(F.count(F.lit(1))).first()[0]
+    small_batches(df.sparkSession)
     counts = df.select(F.col(text).alias("text")).mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     least = max(2, low * total)
     band = written(counts.filter(F.col("n").between(F.lit(least), F.lit(max(least, high * total)))), "term-counts")

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlex.llm.arrow import slices, with_columns
+from textlex.llm.arrow import slices, small_batches, with_columns
 from textlex.llm.tables import written
 from textlex.llm.words import U64, mix
 
@@ -145,6 +145,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     languages = sorted(sizes, key=lambda name: (-sizes[name], name))
     if not languages:
         return Filter([], [])
+    small_batches(docs.sparkSession)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     chosen = F.lit(False)
     for name in languages:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlex.llm.arrow import slices
+from textlex.llm.arrow import slices, small_batches
 from textlex.llm.components import components
 from textlex.llm.tables import written
 from textlex.llm.words import U64, Hasher, mix, of_sequences, windows
@@ -213,6 +213,7 @@ def _across(members: DataFrame, found: DataFrame, small: int) -> DataFrame:
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """A row for each document: doc_id, class_id, class_size, n_links (of its text, to different texts), kept."""
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = docs.select(F.count(F.lit(1))).first()[0]
     counts = docs.select("text").mapInArrow(_document_frequency, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))

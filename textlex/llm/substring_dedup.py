@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlex.llm.arrow import slices
+from textlex.llm.arrow import slices, small_batches
 from textlex.llm.tables import written
 from textlex.llm.words import Hasher, mix, of_sequences, windows
 
@@ -218,6 +218,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))))
     again = W.partitionBy("h")
+    small_batches(df.sparkSession)
 
     sent = docs.select("key", "text").mapInArrow(_send(_anchors(window, period, cover)), _Sender.schema)
     counted = sent.withColumn("total", F.sum("n").over(again))
