@@ -69,7 +69,10 @@ class Classifier:
         df = df.withColumn("_top", F.array_max("_scores"))
         df = df.withColumn("_odds", F.transform("_scores", lambda s: F.exp(F.greatest(s - F.col("_top"), F.lit(-700.0))))).drop("_scores", "_top")
         total = F.aggregate("_odds", F.lit(0.0), lambda s, x: s + x)
-        return df.withColumns({f"p_{d}": F.round(F.col("_odds")[k] / total, 3) for k, d in enumerate(self.domains)}).drop("_odds")
+        found = F.struct(*[F.round(F.col("_odds")[k] / total, 3).alias(f"p_{d}") for k, d in enumerate(self.domains)])
+        # a generator of one row: filters on what follows aren't pushed below it, where they would evaluate all this again for each use
+        df = df.withColumn("_p", F.explode(F.array(found)))
+        return df.select("*", *[F.col(f"_p.p_{d}") for d in self.domains]).drop("_odds", "_p")
 
 
 def train(df: DataFrame, labelled: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Classifier:
