@@ -12,6 +12,8 @@ from textlex.llm.queries import WORD_BPE, table
 
 #: Texts whose language has a score below this are in none of the languages learned.
 MIN_SCORE = 0.05
+#: A document goes only if its posterior of the unwanted domain is over this too.
+SURE = 0.9
 
 
 def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -42,9 +44,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The domains keep their tokens, but toxic text gets none; documents whose rate rounds to one or more stay."""
+    """The domains keep their tokens, but toxic text gets none; documents whose rate rounds to one or more, or that aren't surely toxic, stay."""
     model = mixing.train(docs, mixing.by_quality(table(spark, sf_dir, "labels")))
-    return mixing.mix(docs, model, drop=("toxic",)).filter("rate >= 0.5").select(*docs.columns)
+    mixed = mixing.mix(docs, model, drop=("toxic",))
+    if "toxic" not in model.domains:
+        return mixed.select(*docs.columns)
+    return mixed.filter((F.col("rate") >= 0.5) | (F.col("p_toxic") <= SURE)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
