@@ -121,6 +121,20 @@ def test_near_dedup(spark, docs):
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_copies_among_pages_of_one_template(spark):
+    rng = random.Random(6)
+    frame = [f"t{k}" for k in range(92)]
+    rows = []
+    for k in range(250):  # pages share 88 shingles of 100, and 94 with their copy
+        own = [f"p{k}x{j}" for j in range(12)]
+        rows += [(2 * k, " ".join(frame + own), "en"), (2 * k + 1, " ".join(frame + own[:6] + [f"c{k}x{j}" for j in range(6)]), "en")]
+    rows += [(1000 + k, " ".join(f"f{rng.random()}" for _ in range(6)), "en") for k in range(6000)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in near_dedup.near_dedup(edge(spark, rows)).filter("doc_id < 1000").collect()}
+    assert [k for k in range(250) if not got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k] == []
+    assert {r.class_size for r in got.values()} == {2} and sum(r.kept for r in got.values()) == 250
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(1)
     s = near_dedup.Sampler(512)

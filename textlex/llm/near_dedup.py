@@ -10,15 +10,13 @@ their weighted Jaccard similarity. They are banded; texts that share a band are
 pair whose exact weighted Jaccard similarity is at least THRESHOLD. Classes are the connected components.
 For a shingle of weight 1 the sample's rank depends on the hash alone and is looked up in a table.
 
-No group is expanded into all pairs:
+Every two texts that share a band are compared, and every link between different texts counts:
 1. Texts with the same words are one node (64-bit hash of the whole sequence).
-2. Each bucket's members are compared with its lead, the node that shares most buckets with others (the copy
-   nearest to the original, if there is one), and components are formed.
-3. In buckets of up to SMALL nodes all members of different components are compared, so that a node has at most
-   SMALL - 1 partners there. In larger ones those that aren't in the lead's component get a lead of their own and
-   are compared with it, ROUNDS - 1 times. So the work grows with the number of memberships, not with the
-   square of a bucket. Two nodes of a large bucket neither of which is like any lead that it meets in its 16
-   bands are not compared.
+2. In buckets of up to SMALL nodes the pairs are rows, each different one once.
+3. Larger buckets are dealt into parts of about BLOCK nodes or CHARS characters, and each two parts are one task's
+   block. Inside it the overlaps of all pairs are one matrix product, and a pair is compared in the first band that it
+   shares only. A block gives the number of links of each node and links that span its components, so its
+   result grows with its nodes. The comparisons of a bucket still grow with the square of its nodes, as its links may.
 
 Defined cases: texts of one to four words are linked to texts with the same words only, and texts without
 words (null counts as empty) to equal ones. The class id is the least doc_id of the class; that row stays, and one of several
@@ -40,8 +38,12 @@ from textlex.llm.components import components
 from textlex.llm.tables import written
 from textlex.llm.words import U64, Hasher, mix, of_sequences, windows
 
-WIDTH, THRESHOLD, BANDS, ROWS, SLOTS, COMMON, SMALL, ROUNDS = 5, 0.8, 16, 4, 1 << 16, 0.1, 16, 2
+WIDTH, THRESHOLD, BANDS, ROWS, SLOTS, COMMON, SMALL = 5, 0.8, 16, 4, 1 << 16, 0.1, 16
 HASHES = BANDS * ROWS
+#: Nodes and characters of a part of a large bucket, and features that are multiplied at once.
+BLOCK, CHARS, FEATURES = 256, 2_000_000, 1 << 12
+#: Overlaps are products of 32-bit floats; similarities so near to the threshold are computed again one by one.
+NEAR = 1e-3
 
 
 def shingles(hasher: Hasher, texts: list[str | None]):
@@ -164,7 +166,8 @@ def _named_texts(batches):
         h, text, *_ = hasher.words(texts)
         whole, n = of_sequences(h, text, len(texts))
         body = [pack.compress((t or "").encode("utf-8", "replace")) for t in texts]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_name(whole, n, texts)), pa.array(body, pa.binary())], names=["doc_id", "node", "body"])
+        size = [len(t or "") for t in texts]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_name(whole, n, texts)), pa.array(size, pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "node", "size", "body"])
 
 
 def _similar(table, threshold: float):
@@ -196,18 +199,99 @@ def _links(pairs: DataFrame, texts: DataFrame, table, threshold: float) -> DataF
     return written(both.mapInArrow(_similar(table, threshold), "u long, v long, similarity double"), "links")
 
 
-def _pairs(table: DataFrame) -> DataFrame:
-    return table.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def _overlaps(owner: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The common weight of each of `one` with each of `other`, for features (owner, feature, weight) of n texts."""
+    _, at = np.unique(feature, return_inverse=True)
+    several = np.bincount(at)[at] > 1
+    owner, at, weight = owner[several], at[several], weight[several]
+    order = np.argsort(at, kind="stable")
+    owner, at, weight = owner[order], at[order], weight[order]
+    at = np.cumsum(np.diff(at, prepend=at[:1]) > 0)
+    out = np.zeros((len(one), len(other)), np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, FEATURES):
+        a, b = np.searchsorted(at, (first, first + FEATURES))
+        has, heavy = np.zeros((n, FEATURES), np.float32), np.zeros(FEATURES, np.float32)
+        has[owner[a:b], at[a:b] - first] = 1
+        heavy[at[a:b] - first] = weight[a:b]
+        out += (has[one] * heavy) @ has[other].T
+    return out
+
+
+def _spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least index of each one's component."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _block(table, threshold: float):
+    """Of two parts of a bucket (or one): each node with links, one that its component has there, and how many links it has."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        idf, unpack = table.value, zstandard.ZstdDecompressor()
+        column = lambda c: rows.column(c).to_numpy()
+        node, part, few = column("node"), column("part"), column("few")
+        place, i, j = rows.column("place")[0].as_py(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        small = (few[:, None] >> np.arange(BANDS)) & 1 == 1
+        one, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        test = np.ones((len(one), len(other)), bool)
+        for b in range(BANDS):  # pairs of a small bucket are compared there, others in their first band
+            same = bands[one, b][:, None] == bands[other, b][None, :]
+            if b < place:
+                test &= ~same
+            elif b > place:
+                test &= ~(same & small[one, b][:, None])
+        if i == j:
+            test = np.triu(test, 1)
+        one, other, test = one[test.any(1)], other[test.any(0)], test[test.any(1)][:, test.any(0)]
+        n, u, v = len(node), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(one):
+            used = np.unique(np.concatenate((one, other)))
+            bodies = rows.column("body")
+            g, owner, tf, *_ = shingles(Hasher(), [unpack.decompress(bodies[k].as_py()).decode() for k in used.tolist()])
+            owner = used[owner]
+            weight = idf[slot(g)] * tf.astype(np.float32)
+            total = np.bincount(owner, weight, n)
+            # the k-th time of a shingle is a feature of its own: the lesser of two numbers of times is how many they share
+            nth = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+            feature = np.where(nth == 0, np.repeat(g, tf), mix(np.repeat(g, tf) + nth.astype(U64) * U64(0x9E3779B97F4A7C15)))
+            low = _overlaps(np.repeat(owner, tf), feature, np.repeat(idf[slot(g)], tf), n, one, other).astype(np.float64)
+            s = low / np.maximum(total[one][:, None] + total[other][None, :] - low, 1e-12)
+            start = np.searchsorted(owner, np.arange(n + 1))
+            of = lambda k: (g[start[k] : start[k + 1]], weight[start[k] : start[k + 1]])
+            for x, y in np.argwhere(test & (np.abs(s - threshold) < NEAR)):
+                s[x, y] = similarity(of(one[x]), of(other[y]))
+            x, y = np.nonzero(test & (s >= threshold))
+            u, v = one[x], other[y]
+        degree, label = np.bincount(u, minlength=n) + np.bincount(v, minlength=n), _spanning(n, u, v)
+        has = np.flatnonzero(degree)
+        return pa.table({"u": pa.array(node[has], pa.int64()), "v": pa.array(node[label[has]], pa.int64()), "n": pa.array(degree[has], pa.int64())})
+
+    return run
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a bucket."""
+    one, other = (members.select("bucket", F.col("node").alias(c)) for c in "uv")
+    return one.join(other, "bucket").filter("u < v").select("u", "v").distinct()
 
 
-def _across(members: DataFrame, found: DataFrame, small: int) -> DataFrame:
-    """Pairs of nodes in different components of buckets of up to `small` nodes."""
-    few = members.filter(F.col("n") <= small).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    several = few.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    few = few.join(several, "bucket")
-    one = few.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu"))
-    other = few.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"))
-    return one.join(other, "bucket").filter("cu < cv").select("u", "v")
+def _large_links(members: DataFrame, nodes: DataFrame, few: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:
+    """(u, v, n): for each block, its nodes with links, one of their component, and their numbers of links."""
+    members = members.select("bucket", "place", "node").join(texts.select("node", "size"), "node")
+    parts = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / CHARS)).cast("int").alias("parts"))
+    dealt = members.drop("size").join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "place", "part", "node")
+    more = texts.select("node", "body").join(nodes.select("node", "bands"), "node").join(few, "node", "left").withColumn("few", F.coalesce("few", F.lit(0)).cast("long"))
+    return written(dealt.join(more, "node").groupBy("bucket", "i", "j").applyInArrow(_block(table, threshold), "u long, v long, n long"), "blocks")
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
@@ -225,35 +309,21 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     named = written(docs.mapInArrow(_signatures(table), "doc_id long, node long, bands array<long>"), "signatures")
     nodes = named.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", F.posexplode("bands").alias("place", "bucket"))
     shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = written(members.join(shared, "bucket"), "members")
-    central = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    wanted = central.join(nodes.select("node", F.col("doc_id").alias("first")), "node").select("node", "first")
-    bodies = docs.mapInArrow(_named_texts, "doc_id long, node long, body binary").join(wanted, "node")
-    bodies = written(bodies.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "body").dropDuplicates(["node"]), "texts")
-
-    left = members.join(central, "node")
-    tested = links = found = None
-    for turn in range(ROUNDS):
-        leads = left.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"))
-        led = written(left.join(leads, "bucket"), "led")
-        pairs = _pairs(led.select(F.col("lead").alias("u"), F.col("node").alias("v")))
-        if turn == 1:  # whole small buckets; what is left of large ones has a new lead
-            pairs = pairs.unionByName(_pairs(_across(members, found, small))).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = _links(pairs, bodies, table, threshold)
-        tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
-        found = written(components(links), "components")
-        if turn < ROUNDS - 1:
-            of_lead = found.select(F.col("node").alias("lead"), F.col("component").alias("c"))
-            rest = led.filter("node <> lead").join(found, "node", "left").join(of_lead, "lead", "left")
-            rest = rest.filter("component is null or c is null or component <> c").select("bucket", "node", "n", "weight")
-            left = written(rest.filter(F.col("n") > small), "left")
-
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    in_small, in_large = members.filter(F.col("n") <= small), members.filter(F.col("n") > small)
+    few = in_small.groupBy("node").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("few"))
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("first")), "node").select("node", "first")
+    bodies = docs.mapInArrow(_named_texts, "doc_id long, node long, size long, body binary").join(wanted, "node")
+    bodies = written(bodies.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "size", "body").dropDuplicates(["node"]), "texts")
+
+    links = _links(written(_small_pairs(in_small), "pairs"), bodies, table, threshold).select("u", "v")
+    blocks = _large_links(in_large, nodes, few, bodies, table, threshold)
+    found = written(components(links.unionByName(blocks.select("u", "v").filter("u <> v").distinct())), "components")
+
+    ends = links.select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).cast("long").alias("n"))
+    degree = ends.unionByName(blocks.select(F.col("u").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
     rows = named.groupBy("doc_id", "node").agg(F.count(F.lit(1)).cast("int").alias("rows"))
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(degree, "node", "left")
     rows = written(rows, "documents")
