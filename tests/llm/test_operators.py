@@ -135,6 +135,18 @@ def test_near_dedup_copies_among_pages_of_one_template(spark):
     assert {r.class_size for r in got.values()} == {2} and sum(r.kept for r in got.values()) == 250
 
 
+def test_near_dedup_counts_every_link(spark):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(base[:k] + [f"q{k}"] + base[k + 1 :]), "en") for k in range(40)]  # a large bucket
+    rows += [(100 + k, " ".join([f"s{k}"] + [f"z{j}" for j in range(60)]), "en") for k in range(3)]  # all alike, in small ones
+    rows += [(110, rows[0][1], "en"), (200, " ".join(f"u{j}" for j in range(60)), "en")]
+    _, links = brute.near([(i, t) for i, t, _ in rows])
+    want = Counter(i for pair in links for i in pair)
+    want[110] = want[0]
+    assert want[0] == 39 and want[100] == 2
+    assert {r.doc_id: r.n_links for r in near_dedup.near_dedup(edge(spark, rows)).collect()} == {i: want[i] for i, _, _ in rows}
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(1)
     s = near_dedup.Sampler(512)

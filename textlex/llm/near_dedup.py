@@ -295,7 +295,7 @@ def _large_links(members: DataFrame, nodes: DataFrame, few: DataFrame, texts: Da
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
-    """A row for each document: doc_id, class_id, class_size, n_links (of its text, to different texts), kept."""
+    """A row for each document: doc_id, class_id, class_size, n_links (all links of its text to different texts), kept."""
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
