@@ -25,6 +25,14 @@ def test_partitions_do_not_matter(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_normal_forms_of_all_words(spark):
+    words = [r.word for r in documents.freq(spark, SMALL).collect()]
+    assert any("ß" in w for w in words) and any(w.isascii() for w in words)
+    lower = [w.upper().lower() for w in words]
+    want = sorted((w.upper(), n, n.translate(str.maketrans("îûşçê", "iusce")), n) for w, n in zip(words, lower))
+    assert sorted(map(tuple, plans.QUERIES["normal_forms_all"](spark, SMALL).collect())) == want
+
+
 def test_leakage(spark):
     assert plans.QUERIES["partition_leakage"](spark, SMALL).count() == 0
 

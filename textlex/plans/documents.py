@@ -57,11 +57,19 @@ def sentence_rows(spark, sf_dir):
     return d.select("document_id", F.col("place").cast("long").alias("place"), "sentence", T.sentence_key(F.col("sentence")).alias("sentence_key"))
 
 
-def normal_forms(spark, sf_dir):
-    """Different words with a letter beyond ASCII."""
-    w = freq(spark, sf_dir).filter(F.col("word").rlike(r"[^\x{0}-\x{7F}]") & ~F.col("word").contains("ß"))  # whose capital differs between engines
+def _forms(words):
     word = F.upper("word")
-    return w.select(word.alias("display"), T.normalize(word).alias("normalized"), T.strip_diacritics(word).alias("stripped"), T.normalize_text(F.concat(F.lit("​"), word)).alias("clean"))
+    return words.select(word.alias("display"), T.normalize(word).alias("normalized"), T.strip_diacritics(word).alias("stripped"), T.normalize_text(F.concat(F.lit("​"), word)).alias("clean"))
+
+
+def normal_forms(spark, sf_dir):
+    """Different words with a letter beyond ASCII; without ß, whose capital differs between engines, so that SQL can follow."""
+    return _forms(freq(spark, sf_dir).filter(F.col("word").rlike(r"[^\x{0}-\x{7F}]") & ~F.col("word").contains("ß")))
+
+
+def normal_forms_all(spark, sf_dir):
+    """All different words."""
+    return _forms(freq(spark, sf_dir))
 
 
 def _gram_queries() -> tuple[dict, dict]:
@@ -111,6 +119,7 @@ QUERIES = {
     "coverage_milestones": lambda s, d: frequency.coverage_milestones(freq(s, d)),
     "sentences": sentence_rows,
     "normal_forms": normal_forms,
+    "normal_forms_all": normal_forms_all,
     "token_classes": lambda s, d: corpus.token_classes(docs(s, d)),
     "doc_dedup_groups": lambda s, d: corpus.document_duplicates(docs(s, d)),
     "sentence_dups": lambda s, d: corpus.sentence_duplicates(docs(s, d)),
