@@ -17,15 +17,12 @@ SURE = 0.9
 
 
 def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents with a kept decision; one of rows that repeat."""
-    kept = decisions.filter("kept").select("doc_id").distinct()
-    found = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    nulls = docs.filter("doc_id is null")
-    if decisions.filter("kept and doc_id is null").limit(1).count():
-        found = found.unionByName(nulls)
-    first = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    one = found.withColumn("_k", F.row_number().over(first)).filter("_k = 1 or doc_id is null").drop("_k")
-    return one.select(*docs.columns)
+    """The documents with a kept decision, by id (null is one too) and text_sha256; one of rows that repeat."""
+    kept = decisions.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    found = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
+    first = W.partitionBy("doc_id", "_text").orderBy("text", "lang", "source", "n_chars")
+    return found.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select(*docs.columns)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +37,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, near_dedup.near_dedup(docs))
+    return _chosen(docs, near_dedup.near_dedup(docs, digest=True))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,3 +300,17 @@ def test_pipeline(spark):
     library = Tokenizer.from_file(PATH)
     assert all(np.frombuffer(r.ids, "<u4").tolist() == ids_of(library, source[r.doc_id].text) for r in rows[:20])
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+
+
+def test_pipeline_keeps_the_chosen_rows(spark):
+    import corpus_pipeline
+
+    near = PROSE * 3
+    rows = [(5, "A"), (7, "A"), (5, "B"), (8, "C"), (8, "D"), (None, "E"), (None, "E"), (None, "F"), (9, "F"), (10, near), (10, near + "more"), (None, near + "and"), (11, None), (12, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_exact_copies(spark, df, SMALL)
+    want = Counter([(7, "A"), (5, "B"), (8, "C"), (8, "D"), (None, "E"), (9, "F"), (10, near), (10, near + "more"), (None, near + "and"), (12, "")])
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    got = corpus_pipeline.drop_near_copies(spark, df, SMALL)
+    ids = Counter((r.doc_id, (r.text or "")[:9]) for r in got.collect())
+    assert ids == Counter([(5, "A"), (5, "B"), (8, "C"), (8, "D"), (None, "E"), (9, "F"), (10, near[:9]), (11, "")])

@@ -154,7 +154,7 @@ def _signatures(table):
                 found = sampler.bands(g, idf[slot(g)] * tf.astype(np.float32), start).view(np.int64)
                 for row, k in enumerate(owner[start].tolist()):
                     bands[k] = found[row]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_name(whole, n, texts)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), pa.array(_name(whole, n, texts)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_sha256", "node", "bands"])
 
     return run
 
@@ -294,8 +294,8 @@ def _large_links(members: DataFrame, nodes: DataFrame, few: DataFrame, texts: Da
     return written(dealt.join(more, "node").groupBy("bucket", "i", "j").applyInArrow(_block(table, threshold), "u long, v long, n long"), "blocks")
 
 
-def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
-    """A row for each document: doc_id, class_id, class_size, n_links (all links of its text to different texts), kept."""
+def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL, digest: bool = False) -> DataFrame:
+    """A row for each document: doc_id, class_id, class_size, n_links (all links of its text to different texts), kept; with digest, text_sha256 too."""
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -306,7 +306,8 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
         df_slots[r.slot] = r.n
     table = spark.sparkContext.broadcast(idf_table(df_slots, total))
 
-    named = written(docs.mapInArrow(_signatures(table), "doc_id long, node long, bands array<long>"), "signatures")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256) if digest else F.lit(None).cast("string")
+    named = written(docs.withColumn("text_sha256", sha).mapInArrow(_signatures(table), "doc_id long, text_sha256 string, node long, bands array<long>"), "signatures")
     nodes = named.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("place", "bucket"))
@@ -324,11 +325,15 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
 
     ends = links.select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).cast("long").alias("n"))
     degree = ends.unionByName(blocks.select(F.col("u").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
-    rows = named.groupBy("doc_id", "node").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    rows = named.groupBy("doc_id", "node").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.min("text_sha256").alias("text_sha256"))
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(degree, "node", "left")
     rows = written(rows, "documents")
-    classes = written(rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("ids")).filter("ids > 1").drop("ids"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
+    classes = rows.groupBy("component").agg(first, F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("ids")).filter("ids > 1")
+    classes = written(classes.select("component", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("first"), "class_size"), "classes")
     out = rows.join(classes, "component", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 1)
-    return out.select("doc_id", "class_id", F.coalesce("class_size", F.col("rows").cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"))
+    # one row of the class, also where different texts of it have the same id or none
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.coalesce("first", "node") == F.col("node")) & (F.col("copy") == 1)
+    added = ["text_sha256"] if digest else []
+    return out.select("doc_id", "class_id", F.coalesce("class_size", F.col("rows").cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), *added)
