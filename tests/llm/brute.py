@@ -1,6 +1,7 @@
 """Plain versions of operators for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -19,18 +20,15 @@ def substring(docs, window):
     return out
 
 
-def near(docs, threshold=0.8):
-    """doc_id -> least doc_id of its class, by weighted Jaccard of all pairs that share a shingle."""
-    from textlex.llm import near_dedup as nd
-
-    hasher = nd.Hasher()
-    sets, by_name, df = {}, {}, nd.np.zeros(nd.SLOTS)
+def near(docs, threshold=0.8, rare=1e-4):
+    """doc_id -> least doc_id of its class, and the links of different word sequences, by weighted Jaccard of all pairs of texts."""
+    words = {i: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", (t or "").lower()) for i, t in docs}
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in words.items()}
+    n, df = len(docs), Counter(g for b in bags.values() for g in b)
+    weight = {g: 1 + math.log(n / max(d, rare * n)) / math.log(1 / rare) for g, d in df.items()}
+    by_name = {}
     for i, t in docs:
-        g, _, tf, whole, n = nd.shingles(hasher, [t])
-        df += nd.np.bincount(nd.slot(g), minlength=nd.SLOTS)
-        sets[i] = (g, tf)
-        by_name.setdefault(whole[0] if n[0] else t or "", []).append(i)
-    idf = nd.idf_table(df, len(docs))
+        by_name.setdefault(tuple(words[i]) or (None, t or ""), []).append(i)
     parent = {i: i for i, _ in docs}
 
     def root(i):
@@ -45,15 +43,21 @@ def near(docs, threshold=0.8):
     for group in by_name.values():
         for j in group[1:]:
             join(group[0], j)
-    leads = [g[0] for g in by_name.values()]
-    holders, links = {}, set()
+    leads = [g[0] for g in by_name.values() if bags[g[0]]]
+    size = {i: sum(weight[g] * k for g, k in bags[i].items()) for i in leads}
+    holders = {}
     for i in leads:
-        for g in sets[i][0].tolist():
+        for g in bags[i]:
             holders.setdefault(g, []).append(i)
-    pairs = {(a, b) for h in holders.values() if len(h) < 400 for k, a in enumerate(h) for b in h[:k]}
-    for a, b in pairs:
-        w = [(sets[x][0], idf[nd.slot(sets[x][0])] * sets[x][1].astype(nd.np.float32)) for x in (a, b)]
-        if nd.similarity(*w) >= threshold:
-            links.add((a, b))
-            join(a, b)
+    links = set()
+    for i in leads:
+        low = Counter()
+        for g, k in bags[i].items():
+            for j in holders[g]:
+                if j < i:
+                    low[j] += weight[g] * min(k, bags[j][g])
+        for j, x in low.items():
+            if x / (size[i] + size[j] - x) >= threshold:
+                links.add((j, i))
+                join(i, j)
     return {i: root(i) for i, _ in docs}, links

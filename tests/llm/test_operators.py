@@ -110,41 +110,51 @@ def test_near_dedup(spark, docs):
     rows = [(k, " ".join(base[:k] + [f"q{k}"] + base[k + 1 :]), "en") for k in range(40)] + [(100 + k, " ".join(f"u{k}v{j}" for j in range(60)), "en") for k in range(30)]
     df = edge(spark, rows)
     got = {r.doc_id: r for r in near_dedup.near_dedup(df).collect()}
-    want, links = brute.near([(i, t) for i, t, _ in rows])
+    want, _ = brute.near([(i, t) for i, t, _ in rows])
     assert {i: r.class_id for i, r in got.items()} == want and sum(r.kept for r in got.values()) == 31
     assert got[0].class_size == 40
+    by_shuffle = near_dedup.near_dedup(df, listed=0).collect()  # frequencies joined to the documents instead of broadcast
+    assert {r.doc_id: r for r in by_shuffle} == got
     rows = near_dedup.near_dedup(docs).collect()
     assert len(rows) == len(ROWS)
     by = {r.doc_id: r for r in rows}
     assert by[6].class_id == by[7].class_id == by[8].class_id == 6 and by[1].class_id == by[2].class_id == 1 and by[3].class_id == 3
-    assert sum(r.kept for r in rows if r.doc_id in (9, 11)) == 1
+    assert sum(r.kept for r in rows if r.doc_id in (9, 11)) == 1 and sum(r.kept for r in rows if r.doc_id is None) == 1
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
 
-def test_near_dedup_copies_among_pages_of_one_template(spark):
-    rng = random.Random(6)
-    frame = [f"t{k}" for k in range(92)]
+def template_pages(rng, n, frame, own, edits):
+    """n pages that share a frame, each with a copy that has some other words."""
+    words = [f"t{k}" for k in range(frame)]
     rows = []
-    for k in range(250):  # pages share 88 shingles of 100, and 94 with their copy
-        own = [f"p{k}x{j}" for j in range(12)]
-        rows += [(2 * k, " ".join(frame + own), "en"), (2 * k + 1, " ".join(frame + own[:6] + [f"c{k}x{j}" for j in range(6)]), "en")]
-    rows += [(1000 + k, " ".join(f"f{rng.random()}" for _ in range(6)), "en") for k in range(6000)]
+    for k in range(n):
+        mine = [f"p{k}x{j}" for j in range(own)]
+        rows += [(2 * k, " ".join(words + mine), "en"), (2 * k + 1, " ".join(words + mine[:-edits] + [f"c{k}x{j}" for j in range(edits)]), "en")]
+    rows += [(10_000 + k, " ".join(f"f{rng.random()}" for _ in range(6)), "en") for k in range(4000)]
     rng.shuffle(rows)
-    got = {r.doc_id: r for r in near_dedup.near_dedup(edge(spark, rows)).filter("doc_id < 1000").collect()}
-    assert [k for k in range(250) if not got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k] == []
-    assert {r.class_size for r in got.values()} == {2} and sum(r.kept for r in got.values()) == 250
+    return rows
 
 
-def test_near_dedup_counts_every_link(spark):
-    base = [f"w{k}" for k in range(400)]
-    rows = [(k, " ".join(base[:k] + [f"q{k}"] + base[k + 1 :]), "en") for k in range(40)]  # a large bucket
-    rows += [(100 + k, " ".join([f"s{k}"] + [f"z{j}" for j in range(60)]), "en") for k in range(3)]  # all alike, in small ones
-    rows += [(110, rows[0][1], "en"), (200, " ".join(f"u{j}" for j in range(60)), "en")]
-    _, links = brute.near([(i, t) for i, t, _ in rows])
-    want = Counter(i for pair in links for i in pair)
-    want[110] = want[0]
-    assert want[0] == 39 and want[100] == 2
-    assert {r.doc_id: r.n_links for r in near_dedup.near_dedup(edge(spark, rows)).collect()} == {i: want[i] for i, _, _ in rows}
+def test_near_dedup_finds_the_links_that_all_pairs_have(spark):
+    """Pairs near the threshold among pages that are nearly as alike: at least 0.9 of all links are found, and no wrong one."""
+    rows = template_pages(random.Random(6), 200, 300, 30, 22)
+    want, links = brute.near([(i, t) for i, t, _ in rows])
+    assert len(links) >= 200 and all(a // 2 == b // 2 for a, b in links)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(edge(spark, rows)).filter("doc_id < 10000").collect()}
+    assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_near_dedup_loses_nothing_in_large_buckets(spark):
+    """A large group of copies and other pages in its buckets: every two texts with a common band are linked or compared."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[: k % 120] + [f"q{k}"] + base[k % 120 + 1 :]), "en") for k in range(700)]
+    rows += [(1000 + 2 * k + c, " ".join(base[:100] + [f"o{k}x{j}" for j in range(20)] + [f"e{c}"]), "en") for k in range(60) for c in range(2)]
+    rng.shuffle(rows)
+    want, _ = brute.near([(i, t) for i, t, _ in rows])
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(edge(spark, rows)).collect()}
+    assert got == want
 
 
 def test_weighted_sampling_estimates_similarity():
@@ -157,6 +167,16 @@ def test_weighted_sampling_estimates_similarity():
     assert abs(same - near_dedup.similarity(a, b)) < 0.08
 
 
+def test_shingle_frequencies_are_exact(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(300)]
+    df = edge(spark, [(k, t, None) for k, t in enumerate(texts)]).repartition(3)
+    want = Counter(g for t in texts for g in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+    name = {g: int(near_dedup.shingles(near_dedup.Hasher(), [" ".join(g)])[0].view(np.int64)[0]) for g in want}
+    got = {r.g: r.n for r in near_dedup.frequent_shingles(df, 300, 300).collect()}
+    assert got == {name[g]: n for g, n in want.items() if n >= 2}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)]

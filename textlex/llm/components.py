@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlex.llm.tables import written
+from textlex.llm.tables import _delete, written_at
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,10 +34,12 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of longs, no loops -> (node, component), the component being its least node; nodes without edges are absent."""
-    edges = written(edges.select("u", "v").filter("u <> v"), "edges")
+    edges, path = written_at(edges.select("u", "v").filter("u <> v"), "edges")
     before = None
     while True:
-        edges = written(_small(_large(edges)), "edges")
+        edges, new = written_at(_small(_large(edges)), "edges")
+        _delete(edges.sparkSession, path)
+        path = new
         now = _state(edges)
         if now == before:
             break

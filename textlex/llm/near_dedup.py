@@ -1,70 +1,110 @@
 """Operator 4: near-duplicate detection by improved consistent weighted sampling.
 
 A text is the weighted set of its shingles of five words (runs of letters and digits, in lower case). The
-weight is TF-IDF: how often the shingle occurs in the text times min(1, ln(1 + N / df) / ln(1 + N / (COMMON
-N))). So a shingle in less than a tenth of all texts has the full weight, and only more common ones
-(boilerplate) count less. df is counted over all documents in SLOTS hashed slots, a table of fixed size.
+weight is TF-IDF: how often the shingle occurs in the text, times 1 + ln(N / df) / ln(1 / RARE), where df is the exact number of
+documents with it and counts as RARE N at least. So the factor falls from 2 for a shingle in one of 10,000 documents
+to 1 for one in all. Without the added 1 the rare edits of a copy would outweigh what a large group of copies has in common.
 
 HASHES consistent weighted samples (ICWS) of each text agree between two texts with the probability of
 their weighted Jaccard similarity. They are banded; texts that share a band are candidates, and a link is a
 pair whose exact weighted Jaccard similarity is at least THRESHOLD. Classes are the connected components.
-For a shingle of weight 1 the sample's rank depends on the hash alone and is looked up in a table.
 
-Every two texts that share a band are compared, and every link between different texts counts:
-1. Texts with the same words are one node (64-bit hash of the whole sequence).
+df: each task sends its distinct shingles as sorted, packed blocks of hash ranges, and each range is added up by itself. Only
+shingles in more than RARE N documents (two at least) are needed: at most a document's average number of shingles divided by
+RARE, whatever the corpus' size. They are counted; up to LISTED of them are broadcast, and more are joined to the documents by a
+shuffle, with equal results.
+
+No link is lost between texts that share a band:
+1. Texts with the same words are one node, by 128 bits of two independent hashes of the whole sequence.
 2. In buckets of up to SMALL nodes the pairs are rows, each different one once.
-3. Larger buckets are dealt into parts of about BLOCK nodes or CHARS characters, and each two parts are one task's
-   block. Inside it the overlaps of all pairs are one matrix product, and a pair is compared in the first band that it
-   shares only. A block gives the number of links of each node and links that span its components, so its
-   result grows with its nodes. The comparisons of a bucket still grow with the square of its nodes, as its links may.
+3. In larger ones each node is compared with the bucket's lead, a part of the nodes in each task. In what is a group of copies
+   this leaves one component.
+4. Then all pairs of such a bucket that aren't in one component yet are compared, unless they share an earlier band: nodes are dealt into
+   parts of about BLOCK nodes or CHARS characters, large components into parts of their own, and each two parts that
+   aren't of one component are a task's block, in which the overlaps are matrix products. So a group of
+   copies costs work in proportion to its size, and only nodes that share a band and are not linked cost pairs.
 
 Defined cases: texts of one to four words are linked to texts with the same words only, and texts without
-words (null counts as empty) to equal ones. The class id is the least doc_id of the class; that row stays, and one of several
-rows that repeat it. An empty table gives an empty result; columns other than doc_id and text don't matter.
+words (null counts as empty) to equal ones. The class id is the least doc_id of the class (a null is the largest); that row
+stays, and one of several rows that repeat it. An empty table gives an empty result; columns other than doc_id and text
+don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlex.llm.arrow import slices, small_batches
 from textlex.llm.components import components
-from textlex.llm.tables import written
-from textlex.llm.words import U64, Hasher, mix, of_sequences, windows
+from textlex.llm.tables import join_groups, written
+from textlex.llm.words import U64, Hasher, mix, of_sequences, packed, unpacked, windows
 
-WIDTH, THRESHOLD, BANDS, ROWS, SLOTS, COMMON, SMALL = 5, 0.8, 16, 4, 1 << 16, 0.1, 16
+WIDTH, THRESHOLD, BANDS, ROWS, SMALL, RARE, LISTED = 5, 0.8, 16, 4, 16, 1e-4, 4_000_000
 HASHES = BANDS * ROWS
 #: Nodes and characters of a part of a large bucket, and features that are multiplied at once.
 BLOCK, CHARS, FEATURES = 256, 2_000_000, 1 << 12
 #: Overlaps are products of 32-bit floats; similarities so near to the threshold are computed again one by one.
 NEAR = 1e-3
+#: Shingles that a task sorts at once.
+CHUNK = 4_000_000
 
 
 def shingles(hasher: Hasher, texts: list[str | None]):
-    """Of all texts: distinct shingles (hash, text's index, how often), by text and hash; word sequence hashes and numbers of words."""
+    """Of all texts: distinct shingles (hash, text's index, how often), by text and hash; two hashes of the word sequence and the number of words."""
     h, text, *_ = hasher.words(texts)
     whole, n = of_sequences(h, text, len(texts))
+    other, _ = of_sequences(h, text, len(texts), 1)
     g, at = windows(h, text, WIDTH)
     owner = text[at]
     order = np.lexsort((g, owner))
     g, owner = g[order], owner[order]
     first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])))) if len(g) else np.zeros(0, np.int64)
-    return g[first], owner[first], np.diff(np.append(first, len(g))), whole, n
+    return g[first], owner[first], np.diff(np.append(first, len(g))), (whole, other), n
+
 
+class Idf:
+    """The weight factor of shingles: from sorted hashes and document frequencies, or from those listed with each text."""
 
-def slot(g: np.ndarray) -> np.ndarray:
-    return (g >> U64(48)).astype(np.int64)
+    def __init__(self, total: int, g: np.ndarray | None, n: np.ndarray | None):
+        self.total, self.g, self.n = max(total, 1), g, n
+        if g is not None:
+            self.coarse = np.zeros(1 << 20, bool)
+            self.coarse[g >> U64(44)] = True
 
+    def factor(self, df: np.ndarray) -> np.ndarray:
+        return (1 + np.log(self.total / np.maximum(df, RARE * self.total)) / math.log(1 / RARE)).astype(np.float32)
 
-def idf_table(df: np.ndarray, n_texts: int) -> np.ndarray:
-    """The weight factor of each slot."""
-    return np.minimum(1.0, np.log1p(n_texts / np.maximum(df, 1)) / np.log1p(1 / COMMON)).astype(np.float32)
+    def of(self, g: np.ndarray, owner: np.ndarray | None = None, listed: list | None = None) -> np.ndarray:
+        """Of shingles by text and hash; listed: for each text its (hashes, frequencies), sorted."""
+        df = np.ones(len(g))
+        if self.g is not None:
+            at = np.flatnonzero(self.coarse[g >> U64(44)])
+            self._put(df, g, at, self.g, self.n)
+        else:
+            edge = np.searchsorted(owner, np.arange(len(listed) + 1))
+            for k, (known, n) in enumerate(listed):
+                self._put(df, g, np.arange(edge[k], edge[k + 1]), known, n)
+        return self.factor(df)
+
+    @staticmethod
+    def _put(df, g, at, known, n) -> None:
+        if len(at) and len(known):
+            near = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
+            hit = known[near] == g[at]
+            df[at[hit]] = n[near[hit]]
+
+
+def _listed(part: pa.RecordBatch | pa.Table, name: str = "listed") -> list:
+    """For each row its sorted (hashes, frequencies)."""
+    return [unpacked(x) if x else (np.zeros(0, U64), np.zeros(0, np.int64)) for x in part.column(name).to_pylist()]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -84,34 +124,28 @@ class Sampler:
     def __init__(self, hashes: int = HASHES):
         rng = np.random.Generator(np.random.PCG64(7))
         n = 1 << 16
-        self.r = rng.gamma(2, 1, n).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2, 1, n)).astype(np.float32)
-        self.b = rng.random(n, np.float32)
+        r, log_c, b = rng.gamma(2, 1, n), np.log(rng.gamma(2, 1, n)), rng.random(n)
+        self.r, self.per_r, self.b = r.astype(np.float32), (1 / r).astype(np.float32), b.astype(np.float32)
+        self.base = (log_c + r * b - r).astype(np.float32)  # the rank where t is 0
         self.factor = mix(np.arange(1, hashes + 1, dtype=U64)) | U64(1)
-        self.plain = self._rank(self.log_c - self.r * (1 - self.b))  # weight 1: t is 0
 
     @staticmethod
     def _rank(x: np.ndarray) -> np.ndarray:
         """Floats as integers of the same order, in the upper half."""
-        bits = x.astype(np.float32).view(np.uint32)
-        return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(U64) << U64(32)
+        bits = x.view(np.uint32)
+        return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(U64) << U64(32)
 
     def samples(self, g: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
         """A row of 32-bit sample names for each text; start: of each text's first shingle."""
         out = np.empty((len(start), len(self.factor)), np.uint32)
-        name = g & U64(0xFFFFFFFF)
-        odd = np.flatnonzero(weight != 1)
-        log_w = np.log(weight[odd])
+        name = (g & U64(0xFFFFFFFF)).astype(np.uint32)
+        log_w = np.log(weight).astype(np.float32)
         for k, factor in enumerate(self.factor):
-            pick = ((g * factor) >> U64(48)).astype(np.int64)
-            key = self.plain[pick] | name
-            if len(odd):
-                p = pick[odd]
-                t = np.floor(log_w / self.r[p] + self.b[p])
-                rank = self._rank(self.log_c[p] - self.r[p] * (t - self.b[p] + 1))
-                names = mix(name[odd] + t.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)) & U64(0xFFFFFFFF)
-                key[odd] = rank | np.where(t == 0, name[odd], names)  # t is 0 where the weight is 1
-            out[:, k] = np.minimum.reduceat(key, start).astype(np.uint32)
+            pick = ((g * factor) >> U64(48)).astype(np.int32)
+            t = np.floor(log_w * self.per_r[pick] + self.b[pick])
+            rank = self._rank(self.base[pick] - self.r[pick] * t)
+            shown = name ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
+            out[:, k] = np.minimum.reduceat(rank | shown, start).astype(np.uint32)
         return out
 
     def bands(self, g, weight, start) -> np.ndarray:
@@ -125,78 +159,200 @@ class Sampler:
         return out
 
 
-def _document_frequency(batches):
-    hasher, count = Hasher(), np.zeros(SLOTS, np.int64)
-    for part in slices(batches):
-        g, *_ = shingles(hasher, part.column("text").to_pylist())
-        count += np.bincount(slot(g), minlength=SLOTS)
-    at = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["slot", "n"])
+def _blocks_of_shingles(ranges: int):
+    """(range, packed block): the distinct shingles of a chunk of documents and in how many they are, cut into ranges of hashes."""
+    shift = U64(64 - (ranges.bit_length() - 1))
+
+    def run(batches):
+        hasher, held, size = Hasher(), [], 0
+
+        def flush():
+            g, n = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(g >> shift, np.arange(ranges + 1).astype(U64))
+            bodies, at = [], []
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                bodies.append(packed(g[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]))
+                at.append(k)
+            for k in range(0, len(at), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 256], pa.int32()), pa.array(bodies[k : k + 256], pa.binary())], names=["range", "body"])
+
+        for part in slices(batches):
+            held.append(shingles(hasher, part.column("text").to_pylist())[0])
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return run
+
 
+def _frequent(least: float):
+    """(g, n) of the shingles of each range that are in at least so many documents; ranges come one after the other."""
 
-def _name(whole: np.ndarray, n: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """The node of each text; of texts without words by their characters."""
-    out = whole.copy()
+    def run(batches):
+        held, now = [], None
+
+        def flush():
+            if not held:
+                return
+            g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(g, kind="stable")
+            g, n = g[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            total = np.add.reduceat(n, first)
+            often = total >= least
+            g, total = g[first][often], total[often]
+            for k in range(0, len(g), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(g[k : k + 50_000].view(np.int64)), pa.array(total[k : k + 50_000])], names=["g", "n"])
+
+        for batch in batches:
+            for at, body in zip(batch.column("range").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if at != now:
+                    yield from flush()
+                    held, now = [], at
+                held.append(unpacked(body))
+        yield from flush()
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, total: int, chars: int) -> DataFrame:
+    """(g, n): the shingles in at least RARE of all documents, and two, with the exact numbers of documents."""
+    ranges = 1 << min(18, max(8, int(chars / 6 / CHUNK).bit_length()))
+    sent = docs.select("text").mapInArrow(_blocks_of_shingles(ranges), "range int, body binary")
+    dealt = sent.repartition("range").sortWithinPartitions("range")
+    return written(dealt.mapInArrow(_frequent(max(2, RARE * total)), "g long, n long"), "frequent-shingles")
+
+
+def _names(whole: tuple[np.ndarray, np.ndarray], n: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes that name each text's words; of texts without words, their characters."""
+    one, other = (w.copy() for w in whole)
     for k in np.flatnonzero(n == 0):
-        out[k] = int.from_bytes(hashlib.blake2b((texts[k] or "").encode("utf-8", "replace"), digest_size=8).digest(), "little")
-    return out.view(np.int64)
+        digest = hashlib.blake2b((texts[k] or "").encode("utf-8", "replace"), digest_size=16).digest()
+        one[k], other[k] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    return one.view(np.int64), other.view(np.int64)
+
+
+def _listed_rows(batches):
+    """(h1, h2, g) of the distinct shingles of each text."""
+    hasher = Hasher()
+    for part in slices(batches):
+        texts = part.column("text").to_pylist()
+        g, owner, _, whole, n = shingles(hasher, texts)
+        one, other = _names(whole, n, texts)
+        for k in range(0, len(g), 100_000):
+            at = owner[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(one[at]), pa.array(other[at]), pa.array(g[k : k + 100_000].view(np.int64))], names=["h1", "h2", "g"])
+
+
+def _pack_listed(batches):
+    for batch in batches:
+        found = batch.column("found")
+        bodies = []
+        for row in found:
+            g, n = row.values.field("g").to_numpy().view(U64), row.values.field("n").to_numpy()
+            order = np.argsort(g)
+            bodies.append(packed(g[order], n[order]))
+        yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(bodies, pa.binary())], names=["h1", "h2", "listed"])
 
 
-def _signatures(table):
+def _with_listed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """docs with the packed frequencies of each text's frequent shingles, by shuffles only."""
+    names = docs.mapInArrow(_named(docs.columns), T.StructType([*docs.schema, *_HASHES]))
+    each = docs.select("text").mapInArrow(_listed_rows, "h1 long, h2 long, g long").distinct().join(frequent, "g")
+    lists = each.groupBy("h1", "h2").agg(F.collect_list(F.struct("g", "n")).alias("found"))  # of one text
+    lists = lists.mapInArrow(_pack_listed, "h1 long, h2 long, listed binary")
+    return names.join(lists, ["h1", "h2"], "left").select(*docs.columns, "listed")
+
+
+_HASHES = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+
+
+def _named(stay: list[str] | None = None):
+    """Each row with its node's two hashes; with the columns that stay, or its text packed."""
+
     def run(batches):
-        hasher, sampler, idf = Hasher(), Sampler(), table.value
+        hasher, to = Hasher(), zstandard.ZstdCompressor(level=1)
+        for part in slices(batches):
+            texts = part.column("text").to_pylist()
+            h, text, *_ = hasher.words(texts)
+            whole, n = of_sequences(h, text, len(texts))
+            one, other = _names((whole, of_sequences(h, text, len(texts), 1)[0]), n, texts)
+            if stay:
+                columns = {c: part.column(c) for c in stay}
+            else:
+                body = [to.compress((t or "").encode("utf-8", "replace")) for t in texts]
+                columns = {"doc_id": part.column("doc_id"), "size": pa.array([len(t or "") for t in texts], pa.int64()), "body": pa.array(body, pa.binary()), "listed": part.column("listed")}
+            columns |= {"h1": pa.array(one), "h2": pa.array(other)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
+
+
+def _signatures(idf, stay: list[str]):
+    def run(batches):
+        hasher, sampler, factor = Hasher(), Sampler(), idf.value
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             g, owner, tf, whole, n = shingles(hasher, texts)
             bands: list = [None] * len(texts)
             if len(g):
                 start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                found = sampler.bands(g, idf[slot(g)] * tf.astype(np.float32), start).view(np.int64)
+                weight = factor.of(g, owner, _listed(part) if factor.g is None else None) * tf.astype(np.float32)
+                found = sampler.bands(g, weight, start).view(np.int64)
                 for row, k in enumerate(owner[start].tolist()):
                     bands[k] = found[row]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), pa.array(_name(whole, n, texts)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_sha256", "node", "bands"])
+            one, other = _names(whole, n, texts)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), pa.array(one), pa.array(other), pa.array(bands, pa.list_(pa.int64()))], names=[*stay, "h1", "h2", "bands"])
 
     return run
 
 
-def _named_texts(batches):
-    hasher, pack = Hasher(), zstandard.ZstdCompressor(level=1)
-    for part in slices(batches):
-        texts = part.column("text").to_pylist()
-        h, text, *_ = hasher.words(texts)
-        whole, n = of_sequences(h, text, len(texts))
-        body = [pack.compress((t or "").encode("utf-8", "replace")) for t in texts]
-        size = [len(t or "") for t in texts]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_name(whole, n, texts)), pa.array(size, pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "node", "size", "body"])
+class _Weighted:
+    """Weighted shingles of packed texts, a few of them kept."""
 
+    def __init__(self, idf: Idf):
+        self.idf, self.hasher, self.unpack, self.held = idf, Hasher(), zstandard.ZstdDecompressor(), {}
 
-def _similar(table, threshold: float):
-    def run(batches):
-        hasher, idf, unpack, held = Hasher(), table.value, zstandard.ZstdDecompressor(), {}
+    def of(self, node: int, body: bytes, listed: bytes | None):
+        if node not in self.held:
+            if len(self.held) > 64:
+                self.held.clear()
+            g, owner, tf, *_ = shingles(self.hasher, [self.unpack.decompress(body).decode()])
+            known = [unpacked(listed) if listed else (np.zeros(0, U64), np.zeros(0, np.int64))] if self.idf.g is None else None
+            self.held[node] = g, self.idf.of(g, owner, known) * tf.astype(np.float32)
+        return self.held[node]
+
+
+def _linked(u: list, v: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        def weights(node, body):
-            if node not in held:
-                if len(held) > 64:
-                    held.clear()
-                g, _, tf, *_ = shingles(hasher, [unpack.decompress(body).decode()])
-                held[node] = g, idf[slot(g)] * tf.astype(np.float32)
-            return held[node]
 
+def _similar(idf, threshold: float):
+    def run(batches):
+        weights = _Weighted(idf.value)
         for part in slices(batches):
-            u, v, a, b = (part.column(c).to_pylist() for c in ("u", "v", "a", "b"))
-            s = [similarity(weights(x, p), weights(y, q)) for x, y, p, q in zip(u, v, a, b, strict=True)]
-            near = [k for k, x in enumerate(s) if x >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in near], pa.int64()), pa.array([v[k] for k in near], pa.int64()), pa.array([s[k] for k in near], pa.float64())], names=["u", "v", "similarity"])
+            rows = zip(*(part.column(c).to_pylist() for c in ("u", "v", "a", "b", "la", "lb")), strict=True)
+            near = [(u, v) for u, v, a, b, la, lb in rows if similarity(weights.of(u, a, la), weights.of(v, b, lb)) >= threshold]
+            yield _linked([u for u, _ in near], [v for _, v in near])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:
-    """The pairs (u, v) that are similar."""
-    other = texts.select(F.col("node").alias("u"), F.col("body").alias("a"))
-    one = texts.select(F.col("node").alias("v"), F.col("body").alias("b"))
-    both = pairs.join(one, "v").join(other, "u").select("u", "v", "a", "b")
-    return written(both.mapInArrow(_similar(table, threshold), "u long, v long, similarity double"), "links")
+def _led(idf, threshold: float):
+    """Of a lead (the row whose node is the lead) and a part of its candidates: those that are similar."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        weights = _Weighted(idf.value)
+        lead = rows.column("u")[0].as_py()
+        every = list(zip(*(rows.column(c).to_pylist() for c in ("node", "body", "listed")), strict=True))
+        own = next(weights.of(*x) for x in every if x[0] == lead)
+        near = [n for n, body, listed in every if n != lead and similarity(own, weights.of(n, body, listed)) >= threshold]
+        return pa.Table.from_batches([_linked([lead] * len(near), near)])
+
+    return run
 
 
 def _overlaps(owner: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -230,18 +386,18 @@ def _spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block(table, threshold: float):
-    """Of two parts of a bucket (or one): each node with links, one that its component has there, and how many links it has."""
+def _block(idf, threshold: float):
+    """Of two parts of a bucket (or one): links that span the components of its links."""
 
     def run(rows: pa.Table) -> pa.Table:
-        idf, unpack = table.value, zstandard.ZstdDecompressor()
+        factor, unpack = idf.value, zstandard.ZstdDecompressor()
         column = lambda c: rows.column(c).to_numpy()
-        node, part, few = column("node"), column("part"), column("few")
+        node, part, few, label = column("node"), column("part"), column("few"), column("label")
         place, i, j = rows.column("place")[0].as_py(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         small = (few[:, None] >> np.arange(BANDS)) & 1 == 1
         one, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        test = np.ones((len(one), len(other)), bool)
+        test = label[one][:, None] != label[other][None, :]
         for b in range(BANDS):  # pairs of a small bucket are compared there, others in their first band
             same = bands[one, b][:, None] == bands[other, b][None, :]
             if b < place:
@@ -256,13 +412,14 @@ def _block(table, threshold: float):
             used = np.unique(np.concatenate((one, other)))
             bodies = rows.column("body")
             g, owner, tf, *_ = shingles(Hasher(), [unpack.decompress(bodies[k].as_py()).decode() for k in used.tolist()])
+            idf_of = factor.of(g, owner, _listed(rows.take(pa.array(used))) if factor.g is None else None)
             owner = used[owner]
-            weight = idf[slot(g)] * tf.astype(np.float32)
+            weight = idf_of * tf.astype(np.float32)
             total = np.bincount(owner, weight, n)
             # the k-th time of a shingle is a feature of its own: the lesser of two numbers of times is how many they share
             nth = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
             feature = np.where(nth == 0, np.repeat(g, tf), mix(np.repeat(g, tf) + nth.astype(U64) * U64(0x9E3779B97F4A7C15)))
-            low = _overlaps(np.repeat(owner, tf), feature, np.repeat(idf[slot(g)], tf), n, one, other).astype(np.float64)
+            low = _overlaps(np.repeat(owner, tf), feature, np.repeat(idf_of, tf), n, one, other).astype(np.float64)
             s = low / np.maximum(total[one][:, None] + total[other][None, :] - low, 1e-12)
             start = np.searchsorted(owner, np.arange(n + 1))
             of = lambda k: (g[start[k] : start[k + 1]], weight[start[k] : start[k + 1]])
@@ -270,70 +427,108 @@ def _block(table, threshold: float):
                 s[x, y] = similarity(of(one[x]), of(other[y]))
             x, y = np.nonzero(test & (s >= threshold))
             u, v = one[x], other[y]
-        degree, label = np.bincount(u, minlength=n) + np.bincount(v, minlength=n), _spanning(n, u, v)
-        has = np.flatnonzero(degree)
-        return pa.table({"u": pa.array(node[has], pa.int64()), "v": pa.array(node[label[has]], pa.int64()), "n": pa.array(degree[has], pa.int64())})
+        lead = _spanning(n, u, v)
+        has = np.flatnonzero(lead != np.arange(n))
+        return pa.Table.from_batches([_linked(node[has], node[lead[has]])])
 
     return run
 
 
-def _small_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of nodes that share a bucket."""
+def _small_links(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """The links among all pairs of nodes that share a bucket."""
     one, other = (members.select("bucket", F.col("node").alias(c)) for c in "uv")
-    return one.join(other, "bucket").filter("u < v").select("u", "v").distinct()
-
-
-def _large_links(members: DataFrame, nodes: DataFrame, few: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:
-    """(u, v, n): for each block, its nodes with links, one of their component, and their numbers of links."""
-    members = members.select("bucket", "place", "node").join(texts.select("node", "size"), "node")
-    parts = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / CHARS)).cast("int").alias("parts"))
-    dealt = members.drop("size").join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "place", "part", "node")
-    more = texts.select("node", "body").join(nodes.select("node", "bands"), "node").join(few, "node", "left").withColumn("few", F.coalesce("few", F.lit(0)).cast("long"))
-    return written(dealt.join(more, "node").groupBy("bucket", "i", "j").applyInArrow(_block(table, threshold), "u long, v long, n long"), "blocks")
-
-
-def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL, digest: bool = False) -> DataFrame:
-    """A row for each document: doc_id, class_id, class_size, n_links (all links of its text to different texts), kept; with digest, text_sha256 too."""
-    spark = df.sparkSession
+    pairs = written(one.join(other, "bucket").filter("u < v").select("u", "v").distinct(), "pairs")
+    of_u = texts.select(F.col("node").alias("u"), F.col("body").alias("a"), F.col("listed").alias("la"))
+    of_v = texts.select(F.col("node").alias("v"), F.col("body").alias("b"), F.col("listed").alias("lb"))
+    both = pairs.join(of_v, "v").join(of_u, "u").select("u", "v", "a", "b", "la", "lb")
+    return written(both.mapInArrow(_similar(idf, threshold), "u long, v long"), "small-links")
+
+
+def _parts(size: str = "size"):
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(size) / CHARS)).cast("int")
+
+
+def _lead_links(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """The links of each large bucket's lead, its node with the most rows."""
+    leads = members.groupBy("bucket").agg(F.max(F.struct("rows", "node")).getField("node").alias("u"))
+    pairs = members.select("bucket", "node", "size").join(leads, "bucket").filter("node <> u").select("u", "node", "size").distinct()
+    pairs = written(pairs, "lead-pairs")
+    parts = pairs.groupBy("u").agg(_parts().alias("parts"))
+    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("u", "part", F.col("u").alias("node"))
+    dealt = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node").unionByName(own)
+    rows = dealt.join(texts.select("node", "body", "listed"), "node")
+    return written(rows.groupBy("u", "part").applyInArrow(_led(idf, threshold), "u long, v long"), "lead-links")
+
+
+def _large_links(members: DataFrame, nodes: DataFrame, few: DataFrame, found: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """The links among nodes of large buckets that aren't in one component of `found` yet."""
+    members = members.select("bucket", "place", "node", "size").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    groups = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), _parts().alias("parts")).filter(F.col("n") >= BLOCK / 2)
+    members = members.join(groups.drop("n"), ["bucket", "label"], "left").withColumn("own", F.when(F.col("parts").isNotNull(), F.col("label")))
+    mixed = members.filter("own is null").groupBy("bucket").agg(_parts().alias("mixed"))
+    members = members.join(mixed, "bucket", "left").withColumn("k", F.pmod(F.xxhash64("node"), F.coalesce("parts", "mixed")).cast("int"))
+    members = written(members.select("bucket", "place", "node", "label", "own", F.xxhash64("own", "k").alias("part")), "dealt")
+    parts = members.select("bucket", "part", "own").distinct()
+    left, right = parts.select("bucket", F.col("part").alias("i"), F.col("own").alias("a")), parts.select("bucket", F.col("part").alias("j"), F.col("own").alias("b"))
+    blocks = left.join(right, "bucket").filter("i <= j and (a is null or b is null or a <> b)").select("bucket", "i", "j")
+    blocks = written(blocks, "blocks")
+    ends = blocks.select("*", F.col("i").alias("part")).unionByName(blocks.filter("i <> j").select("*", F.col("j").alias("part")))
+    dealt = members.join(ends, ["bucket", "part"]).select("bucket", "i", "j", "place", "part", "node", "label")
+    more = texts.select("node", "body", "listed").join(nodes.select("node", "bands"), "node").join(few, "node", "left").withColumn("few", F.coalesce("few", F.lit(0)).cast("long"))
+    return written(dealt.join(more, "node").groupBy("bucket", "i", "j").applyInArrow(_block(idf, threshold), "u long, v long"), "block-links")
+
+
+def _classes(docs: DataFrame, threshold: float, small: int, listed: int) -> tuple[DataFrame, DataFrame, int]:
+    """docs: doc_id, text and columns that are carried along. All rows without their text, with row (a number), h1, h2; (h1, h2, rows,
+    class_id, class_size, first) of all nodes, first being the row that stays; number of rows."""
+    spark = docs.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = docs.select(F.count(F.lit(1))).first()[0]
-    counts = docs.select("text").mapInArrow(_document_frequency, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    df_slots = np.zeros(SLOTS)
-    for r in counts.collect():  # SLOTS rows at most
-        df_slots[r.slot] = r.n
-    table = spark.sparkContext.broadcast(idf_table(df_slots, total))
-
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256) if digest else F.lit(None).cast("string")
-    named = written(docs.withColumn("text_sha256", sha).mapInArrow(_signatures(table), "doc_id long, text_sha256 string, node long, bands array<long>"), "signatures")
-    nodes = named.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("place", "bucket"))
+    total, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    frequent = frequent_shingles(docs, total, chars)
+    if frequent.count() <= listed:
+        found = frequent.toArrow()
+        g, n = found.column("g").to_numpy().view(U64), found.column("n").to_numpy()
+        order = np.argsort(g)
+        idf = spark.sparkContext.broadcast(Idf(total, g[order], n[order]))
+        docs = docs.withColumn("listed", F.lit(None).cast("binary"))
+    else:
+        idf = spark.sparkContext.broadcast(Idf(total, None, None))
+        docs = written(_with_listed(docs, frequent), "listed")
+
+    stay = [c for c in docs.columns if c not in ("text", "listed")] + ["row"]
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    more = [T.StructField("bands", T.ArrayType(T.LongType()))]
+    named = written(numbered.mapInArrow(_signatures(idf, stay), T.StructType([*(numbered.schema[c] for c in stay), *_HASHES, *more])), "signatures")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = named.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = nodes.filter("bands is not null").select("node", "rows", F.posexplode("bands").alias("place", "bucket"))
     shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = written(members.join(shared, "bucket"), "members")
-    in_small, in_large = members.filter(F.col("n") <= small), members.filter(F.col("n") > small)
+    wanted = members.select("node").distinct().join(nodes.select("node", "h1", "h2", F.col("first.doc_id").alias("doc_id")), "node")
+    bodies = docs.mapInArrow(_named(), T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("size", T.LongType()), ("body", T.BinaryType()), ("listed", T.BinaryType()))), *_HASHES]))
+    same = [bodies[c].eqNullSafe(wanted[c]) for c in ("h1", "h2", "doc_id")]  # so that copies with other ids aren't on one key
+    texts = written(bodies.join(wanted, same).select("node", "size", "body", "listed").dropDuplicates(["node"]), "texts")
+    in_small, in_large = members.filter(F.col("n") <= small), members.filter(F.col("n") > small).join(texts.select("node", "size"), "node")
+    links = _small_links(in_small, texts, idf, threshold).unionByName(_lead_links(in_large, texts, idf, threshold))
+    found = written(components(links), "components")
     few = in_small.groupBy("node").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("few"))
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("first")), "node").select("node", "first")
-    bodies = docs.mapInArrow(_named_texts, "doc_id long, node long, size long, body binary").join(wanted, "node")
-    bodies = written(bodies.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "size", "body").dropDuplicates(["node"]), "texts")
-
-    links = _links(written(_small_pairs(in_small), "pairs"), bodies, table, threshold).select("u", "v")
-    blocks = _large_links(in_large, nodes, few, bodies, table, threshold)
-    found = written(components(links.unionByName(blocks.select("u", "v").filter("u <> v").distinct())), "components")
-
-    ends = links.select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).cast("long").alias("n"))
-    degree = ends.unionByName(blocks.select(F.col("u").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
-    rows = named.groupBy("doc_id", "node").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.min("text_sha256").alias("text_sha256"))
-    rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(degree, "node", "left")
-    rows = written(rows, "documents")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
-    classes = rows.groupBy("component").agg(first, F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("ids")).filter("ids > 1")
-    classes = written(classes.select("component", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("first"), "class_size"), "classes")
-    out = rows.join(classes, "component", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    # one row of the class, also where different texts of it have the same id or none
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.coalesce("first", "node") == F.col("node")) & (F.col("copy") == 1)
-    added = ["text_sha256"] if digest else []
-    return out.select("doc_id", "class_id", F.coalesce("class_size", F.col("rows").cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), *added)
+    blocks = _large_links(in_large, nodes, few, found, texts, idf, threshold)
+    found = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(blocks)
+    found = written(components(found), "components")
+
+    nodes = nodes.select("h1", "h2", "node", "first", "rows").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = written(nodes, "node-classes")
+    classes = nodes.groupBy("component").agg(F.min("first").alias("best"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes, "classes")
+    nodes = join_groups(nodes.drop("first"), classes, ["component"], "n", total)
+    return named.drop("bands"), nodes.select("h1", "h2", "rows", F.col("best.doc_id").alias("class_id"), "class_size", F.col("best.row").alias("first")), total
+
+
+def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, small: int = SMALL, listed: int = LISTED, carry: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each document: doc_id, class_id, class_size, kept, and columns of df to be carried along, by new name."""
+    carry = carry or {}
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[c.alias(n) for n, c in carry.items()])
+    rows, nodes, total = _classes(docs, threshold, small, listed)
+    out = join_groups(rows, nodes, ["h1", "h2"], "rows", total)
+    return out.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"), *carry)

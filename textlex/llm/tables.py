@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -6,20 +6,58 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot if it has more than this part of all rows, so at most so many keys are.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set, as in tests, one of our own."""
+    """The folder named by spark.checkpoint.dir; where none is set and the master is local, as in tests, one of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         given = tempfile.mkdtemp(prefix="textlex-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table of the shared folder and read again: it cuts the lineage and outlives executors."""
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textlex-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table of the shared folder and read again: it cuts the lineage and outlives executors."""
+    return written_at(df, name)[0]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of the application, once its results have been written elsewhere."""
+    _delete(spark, _folder(spark))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with groups (one row for each key, `size` rows of `rows` having it), left or inner.
+
+    Groups with more than a thousandth of all `total` rows (a thousand of them at most) are broadcast, so that their rows
+    stay where they are; the rest are joined by a shuffle.
+    """
+    hot = groups.filter(F.col(size) * HOT_SHARE > total)
+    cold = groups.filter(F.col(size) * HOT_SHARE <= total)
+    columns = [*rows.columns, *[c for c in groups.columns if c not in keys]]
+    of_hot = rows.join(F.broadcast(hot), keys).select(*columns)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return of_hot.unionByName(rest.join(cold, keys, how).select(*columns))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 
 U64 = np.uint64
 #: Bytes that are worked on at once; a document isn't cut before a separator.
@@ -106,10 +107,25 @@ def windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np
     return mix(out[at]), at
 
 
-def of_sequences(h: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each text's whole sequence of words, and its number of words."""
+def of_sequences(h: np.ndarray, text: np.ndarray, n_texts: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each text's whole sequence of words, and its number of words; other salts give independent hashes."""
     start = np.searchsorted(text, np.arange(n_texts + 1))
     nth = (np.arange(len(h)) - start[text]).astype(U64)
+    if salt:
+        h = mix(h ^ U64(salt * 0xA24BAED4963EE407 % (1 << 64)))
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h + nth * U64(0x9E3779B97F4A7C15)))))
     n = np.diff(start)
     return mix(total[start[1:]] - total[start[:-1]] + n.astype(U64)), n
+
+
+def packed(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted hashes and a number for each, small: differences and numbers as planes of bytes, compressed."""
+    gap = np.diff(h, prepend=U64(0)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(gap.T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    size = len(raw) // 12
+    gap = np.ascontiguousarray(raw[: 8 * size].reshape(8, size).T).view(U64).ravel()
+    return np.cumsum(gap), np.ascontiguousarray(raw[8 * size :].reshape(4, size).T).view("<u4").ravel().astype(np.int64)
