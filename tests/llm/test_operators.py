@@ -284,6 +284,13 @@ def test_substring_dedup(spark, docs):
     rows = [(k, make(), None) for k in range(120)] + [(500 + k, PROSE * 4, None) for k in range(3)] + [(600, None, None), (601, "", None)]
     got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup.substring_dedup(edge(spark, rows)).collect()}
     assert got == brute.substring([(i, t) for i, t, _ in rows], 35)
+    # ids that repeat, with the same text and with others, and none
+    again = [(None if k % 5 == 0 else k % 3 if k % 2 else k, t, None) for k, (_, t, _) in enumerate(rows)] + [(1, PROSE * 2, None), (1, "a b c", None), (2, PROSE * 2 + "x", None), (77, "", None), (77, "", None)]
+    for ends in ([], [(-(1 << 63), "low " * 40, None), (1 << 62, "q", None)], [(-(1 << 63), "low " * 40, None), ((1 << 63) - 1, make(), None)]):
+        more = again + ends
+        out = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup.substring_dedup(edge(spark, more)).collect())
+        want = brute.substring([(k, t) for k, (_, t, _) in enumerate(more)], 35)
+        assert out == Counter((i, *want[k]) for k, (i, _, _) in enumerate(more))
     out = substring_dedup.substring_dedup(docs).collect()
     assert len(out) == len(ROWS) and {r.n_removed for r in out if r.doc_id == 9} == {30_000}
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0

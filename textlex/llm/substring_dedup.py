@@ -15,15 +15,16 @@ are hashed, 15 words each.
 
 Hot keys: each task merges equal hashes of up to CHUNK anchors before it sends them (their places are known
 repeats then, and one row stands for all), so that a passage or text with a third of all rows sends a few rows
-per task. Of documents with the same word sequence all words go; one of them stands for all in step 2.
+per task. Of documents with the same word sequence all words go; one of them stands for all in step 2. Groups of
+such documents with more than a thousandth of all rows are joined by a broadcast of at most a thousand rows.
 
-Window and anchor hashes have 64 bits: over a billion candidate windows a false match has a probability of
-about 3 percent in all.
+Identity: anchors are dealt by 64 bits and only choose candidates. Windows and whole word sequences are equal if 128 bits of two
+independent hashes of their words are. Each row has a key: its doc_id, or where the id is null or occurs in several rows a
+number of its own for each different text, that no doc_id has.
 
 Defined cases: null counts as empty, with no words; texts under 35 words stay whole; rows that repeat are
-documents of their own and so remove each other's windows; documents with a null id are told apart by
-their text; an id shall not have two different texts. An empty table gives an empty result. Columns other
-than doc_id and text don't matter.
+documents of their own and so remove each other's windows, also where they have the same id or none. An
+empty table gives an empty result. Columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlex.llm.arrow import slices, small_batches
-from textlex.llm.tables import written
+from textlex.llm.tables import join_groups, written
 from textlex.llm.words import Hasher, mix, of_sequences, windows
 
 WINDOW, PERIOD, COVER = 35, 21, (3, 6, 7, 12, 14)
 CHUNK = 1_000_000
+#: Repeated ids are broadcast up to this number and joined by a shuffle beyond.
+FEW = 500_000
 #: In place of an anchor's place: one of several equal texts, which stands for them; another of them.
 FIRST_COPY, COPY = -1, -2
 
@@ -52,55 +55,61 @@ def covers(period: int, residues: tuple[int, ...]) -> bool:
 
 
 class _Sender:
-    """Collects (hash, key, place) and merges what is equal within a chunk.
+    """Collects (hashes, key, place) and merges what is equal within a chunk.
 
-    Rows: h, key, place, n. n = 0: a place known as a repeat; n > 0: so many occurrences of h, and the
+    Rows: h (and h2, if wide), key, place, n. n = 0: a place known as a repeat; n > 0: so many occurrences of the hash, and the
     place is null if they are known already.
     """
 
-    schema = "h long, key long, place int, n int"
+    def __init__(self, wide: bool):
+        self.names = ["h", "h2", "key", "place", "n"] if wide else ["h", "key", "place", "n"]
+        self.hashes, self.parts, self.size = 2 if wide else 1, [], 0
 
-    def __init__(self):
-        self.parts, self.size = [], 0
+    @staticmethod
+    def schema(wide: bool) -> str:
+        return f"h long, {'h2 long, ' if wide else ''}key long, place int, n int"
 
-    def add(self, h: np.ndarray, key, place, n=1) -> None:
-        full = lambda x, t: np.full(len(h), x, t) if np.isscalar(x) else x.astype(t)
-        self.parts.append((h.view(np.int64), full(key, np.int64), full(place, np.int32), full(n, np.int32)))
-        self.size += len(h)
+    def add(self, hashes: tuple[np.ndarray, ...], key, place, n=1) -> None:
+        rows = len(hashes[0])
+        full = lambda x, t: np.full(rows, x, t) if np.isscalar(x) else x.astype(t)
+        self.parts.append((*(h.view(np.int64) for h in hashes), full(key, np.int64), full(place, np.int32), full(n, np.int32)))
+        self.size += rows
 
     def flush(self):
         if not self.size:
             return
-        h, key, place, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        *hashes, key, place, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order = np.argsort(h, kind="stable")
-        h, key, place, n = h[order], key[order], place[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(first, len(h)))
+        order = np.lexsort(hashes[::-1]) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+        hashes, key, place, n = [h[order] for h in hashes], key[order], place[order], n[order]
+        new = np.logical_or.reduce([h[1:] != h[:-1] for h in hashes])
+        first = np.flatnonzero(np.concatenate(([True], new)))
+        size = np.diff(np.append(first, len(key)))
         total = np.add.reduceat(n, first)
         twice = np.repeat(total > 1, size)
         one = ~twice
         lead = first[total > 1]
         known = np.flatnonzero(twice & (place >= 0))
-        cols = [
-            np.concatenate([h[one], h[lead], mix(key[known].view(np.uint64) ^ place[known].astype(np.uint64)).view(np.int64)]),
+        # known repeats need no hash; these spread them over all partitions
+        own = mix(key[known].view(np.uint64) ^ place[known].astype(np.uint64)).view(np.int64)
+        cols = [np.concatenate([h[one], h[lead], own if k == 0 else np.zeros(len(known), np.int64)]) for k, h in enumerate(hashes)]
+        cols += [
             np.concatenate([key[one], key[lead], key[known]]),
             np.concatenate([place[one], np.full(len(lead), -9, np.int32), place[known]]),
             np.concatenate([n[one], np.full(len(lead), 2, np.int32), np.zeros(len(known), np.int32)]),
         ]
         gone = np.repeat([False, True, False], [int(one.sum()), len(lead), len(known)])
-        for k in range(0, len(cols[0]), 50_000):
+        for k in range(0, len(gone), 50_000):
             part = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0][part]), pa.array(cols[1][part]), pa.array(cols[2][part], mask=gone[part]), pa.array(cols[3][part])], names=["h", "key", "place", "n"]
-            )
+            masks = [gone[part] if name == "place" else None for name in self.names]
+            yield pa.RecordBatch.from_arrays([pa.array(c[part], mask=m) for c, m in zip(cols, masks, strict=True)], names=self.names)
 
 
-def _send(rows):
+def _send(rows, wide: bool = False):
     """rows: yields once for each slice of documents after adding to the sender it is given."""
 
     def run(batches):
-        sender = _Sender()
+        sender = _Sender(wide)
         for _ in rows(batches, sender):
             if sender.size >= CHUNK:
                 yield from sender.flush()
@@ -122,29 +131,29 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
             place = at - start[text[at]]
             long = np.diff(start)[text[at]] >= window
             take = chosen[place % period] & long
-            sender.add(a[take], key[text[at][take]], place[take])
+            sender.add((a[take],), key[text[at][take]], place[take])
             yield
 
     return rows
 
 
 def _whole_texts(window: int):
-    """(h, key) of each text of at least a window: a hash of all its words."""
+    """(h, h2, key) of each text of at least a window: two hashes of all its words."""
 
     def run(batches):
-        hasher = Hasher(unchanged=True, stream=1)
+        hashers = Hasher(unchanged=True), Hasher(unchanged=True, stream=1)
         for part in slices(batches):
-            h, text, *_ = hasher.words(part.column("text").to_pylist())
-            whole, n = of_sequences(h, text, part.num_rows)
+            texts = part.column("text").to_pylist()
+            (one, n), (two, _) = (of_sequences(h, text, part.num_rows) for h, text, *_ in (hasher.words(texts) for hasher in hashers))
             take = n >= window
-            yield pa.RecordBatch.from_arrays([pa.array(whole[take].view(np.int64)), part.column("key").filter(pa.array(take))], names=["h", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(one[take].view(np.int64)), pa.array(two[take].view(np.int64)), part.column("key").filter(pa.array(take))], names=["h", "h2", "key"])
 
     return run
 
 
 def _candidates(window: int, period: int):
     def rows(batches, sender):
-        hasher = Hasher(unchanged=True)
+        hashers = Hasher(unchanged=True), Hasher(unchanged=True, stream=1)
         unpack = zstandard.ZstdDecompressor()
         for part in slices(batches):
             marks = part.column("places").to_pylist()
@@ -154,8 +163,8 @@ def _candidates(window: int, period: int):
             blobs = part.column("body")
             texts = [unpack.decompress(blobs[k].as_py()).decode() for k in of]
             keys = part.column("key").to_numpy()[of]
-            h, text, *_ = hasher.words(texts)
-            w, at = windows(h, text, window)
+            (h, text, *_), (other, *_) = (hasher.words(texts) for hasher in hashers)
+            (w, at), (w2, _) = windows(h, text, window), windows(other, text, window)
             start = np.searchsorted(text, np.arange(len(of) + 1))
             edge = np.zeros(len(h) + period + 1, np.int32)
             several = np.array([FIRST_COPY in marks[k] for k in of])
@@ -168,9 +177,9 @@ def _candidates(window: int, period: int):
                     np.add.at(edge, np.maximum(p - period + 1, start[j]), 1)
                     np.add.at(edge, p + 1, -1)
             take = np.cumsum(edge)[at] > 0
-            w, at = w[take], at[take]
+            w, w2, at = w[take], w2[take], at[take]
             place = np.where(several[text[at]], -9, at - start[text[at]])
-            sender.add(w, keys[text[at]], place, np.where(several[text[at]], 2, 1))
+            sender.add((w, w2), keys[text[at]], place, np.where(several[text[at]], 2, 1))
             yield
 
     return rows
@@ -210,32 +219,58 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(body, pa.binary())], names=["key", "doc_id", "body"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text -> key, doc_id, text; rows of one id and text have one key."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    several = written(ids.select(F.col("doc_id").alias("_id")), "repeated-ids")
+    if not several.limit(1).count():
+        return docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    room = 1 << 62
+    if least is None or least > room - (1 << 63):
+        new = F.lit(room - (1 << 63) if least is None else least) - 1 - F.col("number")
+    elif most < room:
+        new = F.lit(most) + 1 + F.col("number")
+    else:
+        new = None  # ids at both ends: all rows get numbers
+    few = several.count() <= FEW
+    joined = lambda how: docs.join(F.broadcast(several) if few else several, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    named = (docs if new is None else joined("left_semi")).select("doc_id", F.sha2("text", 256).alias("digest")).distinct()
+    named = written(named.withColumn("number", F.monotonically_increasing_id()), "row-names")
+    rest = None if new is None else joined("left_anti").select(F.col("doc_id").alias("key"), "doc_id", "text")
+    mine = (docs if new is None else joined("left_semi")).withColumn("digest", F.sha2("text", 256))
+    n = named.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("number"))
+    mine = mine.join(n, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    mine = mine.select((F.col("number") if new is None else new).alias("key"), "doc_id", "text")
+    return mine if rest is None else rest.unionByName(mine)
+
+
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept_text."""
     if not covers(period, cover) or window < period:
         raise ValueError("not a difference cover of a period within the window")
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))))
-    again = W.partitionBy("h")
+    docs = _keyed(df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")))
     small_batches(df.sparkSession)
 
-    sent = docs.select("key", "text").mapInArrow(_send(_anchors(window, period, cover)), _Sender.schema)
-    counted = sent.withColumn("total", F.sum("n").over(again))
+    sent = docs.select("key", "text").mapInArrow(_send(_anchors(window, period, cover)), _Sender.schema(False))
+    counted = sent.withColumn("total", F.sum("n").over(W.partitionBy("h")))
     anchors = counted.filter("place is not null and (n = 0 or total > 1)").select("key", "place")
 
-    whole = docs.select("key", "text").mapInArrow(_whole_texts(window), "h long, key long")
+    whole = docs.select("key", "text").mapInArrow(_whole_texts(window), "h long, h2 long, key long")
     whole = written(whole, "whole-texts")
-    groups = whole.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1")
+    groups = whole.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1")
+    groups = written(groups, "text-groups")
     # a row that repeats has one key and counts as first; its copies go with it
-    copies = whole.join(groups, "h").select("key", F.when(F.col("key") == F.col("first"), F.lit(FIRST_COPY)).otherwise(F.lit(COPY)).alias("place"))
-    copies = written(copies, "copies")
+    copies = join_groups(whole, groups, ["h", "h2"], "n", max(1, whole.count()), "inner")
+    copies = copies.select("key", F.when(F.col("key") == F.col("first"), F.lit(FIRST_COPY)).otherwise(F.lit(COPY)).alias("place"))
+    copies = written(copies.distinct(), "copies")
 
     marks = anchors.unionByName(copies).groupBy("key").agg(F.collect_set("place").alias("places"))
     stored = docs.mapInArrow(_packed, "key long, doc_id long, body binary")
     # both joins take the same columns of all documents, so that one exchange of the texts serves both
-    found = stored.join(marks, "key", "left").mapInArrow(_send(_candidates(window, period)), _Sender.schema)
-    counted = found.withColumn("total", F.sum("n").over(again))
+    found = stored.join(marks, "key", "left").mapInArrow(_send(_candidates(window, period), True), _Sender.schema(True))
+    counted = found.withColumn("total", F.sum("n").over(W.partitionBy("h", "h2")))
     starts = counted.filter("place is not null and (n = 0 or total > 1)").select("key", "place", F.lit(False).alias("copy"))
     lost = starts.unionByName(copies.select("key", F.lit(None).cast("int").alias("place"), F.lit(True).alias("copy")))
     lost = lost.groupBy("key").agg(F.collect_set("place").alias("starts"), F.max("copy").alias("copy"))
