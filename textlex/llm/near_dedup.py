@@ -532,3 +532,9 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     rows, nodes, total = _classes(docs, threshold, small, listed)
     out = join_groups(rows, nodes, ["h1", "h2"], "rows", total)
     return out.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"), *carry)
+
+
+def kept_rows(df: DataFrame, key: list[Column], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The keys k0, k1, ... of the rows that stay: one of each class."""
+    carry = {f"k{n}": c for n, c in enumerate(key)}
+    return near_dedup(df, doc_id, text, threshold, carry=carry).filter("kept").select(*carry)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it has more than this part of all rows, so at most so many keys are.
@@ -49,6 +50,19 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, _folder(spark))
 
 
+def row_key(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df and columns that tell its rows apart, whatever the plan: the place in its files. Other tables than scans are written first."""
+    try:
+        of = df.metadataColumn("_metadata")
+        key = [of.getField("file_path"), of.getField("row_index")]
+        df.select(*key)
+    except AnalysisException:
+        df = written(df, "rows")
+        of = df.metadataColumn("_metadata")
+        key = [of.getField("file_path"), of.getField("row_index")]
+    return df, [F.xxhash64(key[0]), F.xxhash64(F.lit(1), key[0]), key[1]]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
     """rows joined with groups (one row for each key, `size` rows of `rows` having it), left or inner.
 
