@@ -1,57 +1,77 @@
-"""A corpus pipeline of five operators: each stage works on all documents that the stage before kept."""
+"""A corpus pipeline of five operators: each stage works on all documents that the stage before kept.
+
+Decisions go by row, not by doc_id: a stage numbers its rows by their place in its files, and exactly the rows decided on stay.
+
+Defined cases of all stages: null texts count as empty; repeated ids and rows, and rows without an id, are documents of their own;
+an empty table gives an empty result; the first four stages return the columns they got, whatever their names, and further
+columns don't matter to them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlex.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from textlex.llm.queries import WORD_BPE, table
+from textlex.llm.tables import row_key, written
 
 #: Texts whose language has a score below this are in none of the languages learned.
 MIN_SCORE = 0.05
-#: A document goes only if its posterior of the unwanted domain is over this too.
-SURE = 0.9
+SEED, DROPPED = 20260101, "toxic"
+
 
+def _fresh(docs: DataFrame, n: int) -> list[str]:
+    """Names that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := f"key{i}{'_' * k}") not in taken) for i in range(n)]
 
-def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents with a kept decision, by id (null is one too) and text_sha256; one of rows that repeat."""
-    kept = decisions.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    found = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
-    first = W.partitionBy("doc_id", "_text").orderBy("text", "lang", "source", "n_chars")
-    return found.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select(*docs.columns)
+
+def _only(docs: DataFrame, key: list[Column], kept: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in kept (k0, k1, ...)."""
+    names = _fresh(docs, len(key))
+    keyed = docs.select("*", *[c.alias(n) for n, c in zip(names, key, strict=True)])
+    same = [keyed[n] == kept[f"k{i}"] for i, n in enumerate(names)]
+    return keyed.join(kept, same, "left_semi").drop(*names)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that was learned from the labelled ones."""
+    """Keeps documents in a language that was learned from the labelled ones. Texts without a letter go."""
     model = language_id.train(docs)
-    found = language_id.identify(docs, model, drop_text=False)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    label, score = _fresh(docs, 2)
+    found = language_id.identify(docs, model, lang_pred=label, score=score, drop_text=False)
+    return found.filter((F.col(label) != language_id.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, exact_dedup.exact_dedup(docs))
+    """Of equal texts one row stays, of the largest doc_id."""
+    docs, key = row_key(docs)
+    return _only(docs, key, exact_dedup.kept_rows(docs, key))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, near_dedup.near_dedup(docs, digest=True))
+    """Of each class of near copies one row stays, of the least doc_id."""
+    docs, key = row_key(docs)
+    return _only(docs, key, near_dedup.kept_rows(docs, key))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The domains keep their tokens, but toxic text gets none; documents whose rate rounds to one or more, or that aren't surely toxic, stay."""
+    """Mixes to target totals: those of the documents that are likely not toxic, with room of a twentieth for the other domains.
+
+    A document stays with the probability of its fitted rate, by a seeded hash of its text; over one, it stays once.
+    """
     model = mixing.train(docs, mixing.by_quality(table(spark, sf_dir, "labels")))
-    mixed = mixing.mix(docs, model, drop=("toxic",))
-    if "toxic" not in model.domains:
-        return mixed.select(*docs.columns)
-    return mixed.filter((F.col("rate") >= 0.5) | (F.col("p_toxic") <= SURE)).select(*docs.columns)
+    if DROPPED not in model.domains:
+        return docs
+    mixed = mixing.rated_rows(docs, model, mixing.without(model, DROPPED), "text", _fresh(docs, 1)[0])
+    chance = F.pmod(F.xxhash64(F.lit(SEED), F.col("text")), F.lit(1_000_000)) / 1_000_000
+    return mixed.filter(chance < F.col(mixed.columns[-1])).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token numbers and the text decoded from them."""
-    coded = bpe.encode_decode(docs, public_tokenizers.path(WORD_BPE))
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(WORD_BPE))
     return coded.withColumn("n_tokens", bpe.n_tokens(F.col("ids"))).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded")
 
 
@@ -66,10 +86,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each but the last written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 QUERIES = {"pipeline": run}
