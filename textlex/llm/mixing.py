@@ -163,7 +163,7 @@ def rate(domains: list[str], steps: list[list[float]]) -> Column:
     moved = lambda e: F.aggregate(F.zip_with(p, e, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     taken = F.split(F.lit(";".join(",".join(map(repr, step)) for step in steps)), ";") if steps else F.array().cast("array<string>")
     history = F.transform(taken, lambda t: F.split(t, ",").cast("array<double>"))
-    return F.round(F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - moved(e))), 6)
+    return F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - moved(e)))
 
 
 def totals(features: DataFrame, domains: list[str], r: Column) -> np.ndarray:
@@ -206,9 +206,11 @@ def fit(features: DataFrame, domains: list[str], want: np.ndarray, close: float
             while True:
                 new = move + part * way
                 there = state([*steps, new.tolist()])
-                if value(new, there) <= value(move, at) - 1e-4 * part * (way @ slope) or part < 1e-6:
+                if value(new, there) <= value(move, at) - 1e-4 * part * (way @ slope) or part < 1e-3:
                     break
                 part /= 2
+            if value(new, there) >= value(move, at):
+                break
             move, at = new, there
         before, after = float(now[0] @ now[0]), float(at[0] @ at[0])
         if after >= before:
@@ -257,7 +259,8 @@ def rated_rows(df: DataFrame, model: Classifier, want, text: str = "text", rate_
     body = df.select(F.col(text).alias("text"), n_words(F.col(text)).alias("n_tokens"))
     rated, _ = _rated(written(model.posteriors(body).drop("text"), "posteriors"), model, want)
     held = df.select(F.struct(*own).alias("row"), F.col(text).alias("text"))
-    return model.posteriors(held).select(*[F.col("row").getField(c).alias(c) for c in own], rated.alias(rate_name))
+    held = model.posteriors(held).select("row", rated.alias("rate"))
+    return held.select(*[F.col("row").getField(c).alias(c) for c in own], F.col("rate").alias(rate_name))
 
 
 def rates(df: DataFrame, model: Classifier, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
