@@ -61,3 +61,35 @@ def near(docs, threshold=0.8, rare=1e-4):
                 links.add((j, i))
                 join(i, j)
     return {i: root(i) for i, _ in docs}, links
+
+
+def imatch(order, low, high):
+    """order: (id, text) in their order. For each: id, length, digest of the edited text, likeness to it and to the next, and the terms of each subset."""
+    from textlex.llm.imatch import LEAST, Fingerprints
+    from textlex.llm.words import U64, Hasher, mix
+
+    hasher, seeds = Hasher(), Fingerprints(None).seeds
+    terms = lambda t: set(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t.lower()))
+    df = Counter(w for _, t in order for w in terms(t))
+    least = max(2, low * len(order))
+    band = {w for w, n in df.items() if least <= n <= max(least, high * len(order))}
+    stays = {}
+
+    def subsets(text):
+        found = terms(text)
+        inside = found & band
+        chosen = inside if len(inside) >= LEAST else found
+        for w in chosen - stays.keys():  # chance: whether a subset has a term is taken from the same hash
+            h = hasher.words([w])[0][0]
+            stays[w] = [int(mix(h ^ s) % U64(10)) >= 3 for s in seeds]
+        return [frozenset(w for w in chosen if stays[w][k]) for k in range(len(seeds))]
+
+    out = []
+    for k, (i, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        n = len(text) // 2
+        edited = text[: len(text) - n] + after[:n]
+        own = subsets(text)
+        near = [sum(a == b for a, b in zip(own, subsets(t))) / len(own) for t in (edited, after)]
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(near[0], 9), round(near[1], 9), tuple(own)))
+    return out

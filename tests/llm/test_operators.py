@@ -1,11 +1,15 @@
 import hashlib
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -59,6 +63,14 @@ def test_bpe_equals_library(model, library):
         assert model.decode(model.encode(text)) == library.decode(ids_of(library, text), skip_special_tokens=False)
 
 
+def test_bpe_query_equals_library(spark, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in queries.op1_bpe(spark, SMALL).collect():
+        want = ids_of(library, texts[r.doc_id])
+        shown = library.decode(want, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
+
+
 def test_bpe_columns(docs, library):
     rows = bpe.encode_decode(docs, PATH).withColumn("array", bpe.unpack(F.col("ids"))).collect()
     assert len(rows) == len(ROWS)
@@ -101,8 +113,52 @@ def test_language_id_edges(docs):
 
 def test_filter_returns_all_languages():
     a, b = np.arange(1, 500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(300, 900, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    f = language_id.Filter(["a", "b"], [a, b])
-    assert (f.containing(a) & 1 == 1).all() and (f.containing(b) & 2 == 2).all() and (f.containing(b[-100:]) & 1).sum() == 0
+    for more in (0, 7, 40, 100):  # one word, wider words, several words
+        f = language_id.Filter(["a", *[f"x{k}" for k in range(more)], "b"], [a, *[b[-3:]] * more, b])
+        has = lambda k, h: f.containing(h)[:, f.bit(k)[0]] & f.bit(k)[1] > 0  # noqa: E731, B023
+        assert has(0, a).all() and has(more + 1, b).all() and not has(0, b[-100:]).any() and has(more + 1, a).sum() == 200
+        assert (f.false < 1e-6).all()
+    with pytest.raises(ValueError):
+        language_id.Filter([str(k) for k in range(1025)], [a] * 1025)
+
+
+def test_language_id_equals_plain_counts(spark):
+    """Sets of n-grams in place of the filter, and a count of each language's."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+
+    def grams(text):
+        text = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        text = re.sub(" +", " ", text)
+        return [text[k : k + n] for n in (2, 3, 4, 5) for k in range(len(text) - n + 1)]
+
+    counts, n = defaultdict(Counter), Counter()
+    for r in rows:
+        if not held[r.doc_id] and r.text is not None and r.lang is not None:
+            counts[r.lang].update(grams(r.text))
+            n[r.lang] += 1
+    known = {x: {g for g, k in c.items() if k >= 5} for x, c in counts.items()}
+    order = sorted(known, key=lambda x: (-n[x], x))
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, SMALL).collect()}
+    for r in rows:
+        hits = {x: sum(g in known[x] for g in grams(r.text)) for x in order}
+        best = max(order, key=lambda x: hits[x])
+        letters = any(c.isalpha() for c in r.text or "")
+        assert got[r.doc_id].held_out == held[r.doc_id] and got[r.doc_id].lang_pred == (best if letters else "und")
+        if letters:
+            want = hits[best] / sum(hits.values()) * hits[best] / len(grams(r.text))
+            assert abs(got[r.doc_id].score - want) < 0.002
+
+
+def test_unlearned_languages_score_lower(spark):
+    import corpus_pipeline
+
+    known = language_id.train(queries.table(spark, "/root/testdata/sf0.01", "documents"))
+    odd = ["questa frase parla di montagne e di laghi vicino alla nostra vecchia casa di campagna", "bu cümle dağlar ve göller hakkında konuşuyor ve çok uzun sürüyor", "tämä lause kertoo vuorista ja järvistä jotka ovat kaukana täältä", "xqzjv kwpfh bgtrw zzxcv qqwpr mnbvk"]
+    assert all(x < corpus_pipeline.MIN_SCORE for x in known.predict(odd)[1])
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").filter("text rlike '[a-z]{2}'")
+    low = language_id.identify(docs, known).filter(F.col("score") < corpus_pipeline.MIN_SCORE).count()
+    assert low <= 0.002 * docs.count()
 
 
 def test_near_dedup(spark, docs):
@@ -274,11 +330,40 @@ def test_shards(spark, docs, tmp_path):
     assert max(map(len, slots.values())) < 1.3 * min(map(len, slots.values()))
     order = [r.doc_id for r in sorted(rows, key=lambda r: r.slot) if r.shard == 3 and r.doc_id is not None]
     assert order != sorted(order)
-    shards.write_shards(many.select("doc_id", "text"), str(tmp_path / "s"), 7, bucket_bytes=20_000)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
+    # law: the largest seeded hash of shard and id, computed without Spark
+    xx = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def best(i, n):
+        start = xx((20260101).to_bytes(4, "little"), 42)
+        of = lambda s: xx(s.to_bytes(4, "little"), start)
+        return max(range(n), key=lambda s: (signed(of(s) if i is None else xx(i.to_bytes(8, "little"), of(s))), s))
+
+    texts = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), best(i, 7), best(i, 8)) for i, t, _ in [(k, PROSE[: k % 90], None) for k in range(3000)] + ROWS)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in rows) == texts
+    # slots depend on the records and the seed alone
+    placed = {(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in rows}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        again = shards.write_shards(many.repartition(5, "text"), str(tmp_path / "s"), 7, bucket_bytes=20_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in again.collect()} == placed
+    assert "source" in again.columns and {r.text for r in again.filter("doc_id = 9 and length(text) > 100").collect()} == {LONG}
+    for file in (tmp_path / "s").glob("shard=*/*.parquet"):  # buckets lie one after the other, in the order of their slots
+        found = [r["slot"] for r in pq.read_table(file, columns=["slot"], partitioning=None).to_pylist()]
+        assert sum(b != a + 1 for a, b in zip(found, found[1:])) <= 40
     assert shards.slots(docs.limit(0)).count() == 0
 
 
+def test_shards_deal_rows_that_are_alike(spark):
+    many = edge(spark, [(None, "same", None)] * 3000 + [(k, "x" * k, None) for k in range(50)])
+    rows = shards._records(many, 3, 1, "doc_id", "text", 10_000)[0].filter("_id is null").groupBy("bucket").count().collect()
+    assert len(rows) > 3 and max(r["count"] for r in rows) < 1500
+    got = shards.slots(many, 3, 1, bucket_bytes=10_000).collect()
+    assert len(got) == 3050 and all(sorted(s) == list(range(len(s))) for s in ([r.slot for r in got if r.shard == k] for k in range(3)))
+
+
 def test_url_filter(spark):
     urls = [None, "", "no-scheme.net/x", "http://a.NET/x", "https://example.net/en/1?q", "http://x.example.net/en", "http://example.net", "ftp://b.org/fr/#t", "http://org/fr/", "http://notorg/fr/", "http://example.com/de/../x", "http://u@example.com/de/", "x://y://z.net/"]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(3, urls[3])], "page_id long, url string").withColumns({"host": F.lit(1), "verdict": F.lit(1)})
@@ -302,19 +387,40 @@ def test_bloom_has_no_false_negatives(spark):
 def test_imatch(spark, docs):
     rows = imatch.with_next(docs).collect()
     assert len(rows) == len(ROWS)
-    order = sorted((r for r in ROWS if r[0] is not None), key=lambda r: -r[0])
     by = {r.doc_id: r for r in rows}
-    for (i, t, _), (_, nxt, _) in zip(order, order[1:]):
-        t, nxt = t or "", nxt or ""
-        n = len(t) // 2
-        if i != 9:
-            assert by[i].n_chars == len(t) and by[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()
     assert by[6].fingerprint == by[7].fingerprint != by[9].fingerprint and by[1].fingerprint == by[2].fingerprint
     assert by[7].near_next == 1.0 and all(0 <= r.near_edited <= 1 for r in rows)
     assert imatch.with_next(docs.limit(0)).count() == 0 and imatch.with_next(docs.filter("doc_id = 6")).first().near_next == 1.0
     assert imatch.fingerprints(docs, "text").count() == len(ROWS)
 
 
+def test_imatch_equals_plain_version(spark):
+    rng = random.Random(11)
+    words_ = [f"w{k}" for k in range(400)] + ["é", "Straße", "ÀB"]
+    texts = [" ".join(rng.choice(words_) for _ in range(rng.choice((0, 2, 9, 40, 120)))) for _ in range(160)]
+    texts += [texts[5], None, "", texts[7] + "!", texts[9].upper()] + ["solo"] * 3
+    rows = [(k, t, None) for k, t in enumerate(texts)]
+    rows += [(None, f"none {k} w1 w2", None) for k in range(60)] + [(500, f"many {k} w3", None) for k in range(80)]
+    df = edge(spark, rows)
+    ids = spark.createDataFrame([(k, i, t) for k, (i, t, _) in enumerate(rows)], "k int, doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    order = [(r.doc_id, r.text or "") for r in ids.orderBy(F.desc_nulls_last("doc_id"), "tie").collect()]
+    want = brute.imatch(order, 0.01, 0.2)
+    got = imatch.with_next(df, low=0.01, high=0.2)
+    by_shuffle = imatch.with_next(df, low=0.01, high=0.2, most=0)
+    for out in (got.collect(), by_shuffle.collect()):
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == Counter(w[:5] for w in want)
+        names = {}
+        assert len(out) == len(rows)
+        assert all(names.setdefault(r.fingerprint, r.n_chars) is not None for r in out)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, by_shuffle.collect()))
+    # the same fingerprints for the same terms only
+    shown = {r.doc_id: r.fingerprint for r in got.filter("doc_id < 160").collect()}
+    terms = {w[0]: w[5] for w in want if w[0] is not None and w[0] < 160}
+    assert all((shown[a] == shown[b]) == (terms[a] == terms[b]) for a in shown for b in shown)
+    some = {r.doc_id: r.fingerprint for r in imatch.fingerprints(df, "text", 0.01, 0.2).collect()}
+    assert {r.doc_id: r.fingerprint for r in imatch.fingerprints(df, "text", 0.01, 0.2, most=0).collect()} == some and some[3] == shown[3]
+
+
 def test_substring_dedup(spark, docs):
     assert substring_dedup.covers(substring_dedup.PERIOD, substring_dedup.COVER)
     rng = random.Random(4)

@@ -6,17 +6,17 @@ each language's hits are counted (popcounts by bit) and corrected for the filter
 (hits - n * p) / (1 - p) with the language's own p, and the language with the most wins.
 
 n-grams are 2 to 5 characters of the lower-cased text in which each run of other characters than letters is one
-space. A language contains an n-gram if it is at least MIN_COUNT times in its training texts and at least
-MIN_RATIO times as frequent there as in the language where it is most frequent; of these it keeps the
-GRAMS most frequent of each length.
+space. A language contains every n-gram that its training texts have MIN_COUNT times at least.
 
 Training reads a bounded sample of the labelled texts: about SAMPLE texts of each language, chosen by a hash
-of the id. The filter has a fixed size. Prediction reads whole texts of all documents, without a shuffle.
+of the id. The filter has CELLS cells, or more if a language of that sample has more n-grams than a 24th of them. Prediction reads
+whole texts of all documents, without a shuffle.
 
 Defined cases: a null text or one without a letter is `und`, with score 0; a text none of whose n-grams is
 known gets the language with the most training texts, score 0; ties go to the language with more
 training texts, then to the smaller name. A null id is neither trained on nor held out. An empty table gives an
-empty result, and without training texts everything is `und`. An added column replaces one of its name.
+empty result, and without training texts everything is `und`. More than MAX_LANGUAGES languages are an error, as each cell has
+a bit for each. An added column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +31,8 @@ from textlex.llm.arrow import slices, small_batches, with_columns
 from textlex.llm.tables import written
 from textlex.llm.words import U64, mix
 
-SAMPLE, GRAMS, MIN_COUNT, MIN_RATIO, SIZES = 2000, 20_000, 3, 0.25, (2, 3, 4, 5)
-CELLS, HASHES, MAX_LANGUAGES = 1 << 22, 3, 64
+SAMPLE, MIN_COUNT, SIZES = 2000, 5, (2, 3, 4, 5)
+CELLS, HASHES, MAX_LANGUAGES = 1 << 22, 3, 1024
 UNKNOWN = "und"
 #: Characters that are worked on at once.
 STRETCH = 1 << 19
@@ -76,14 +75,21 @@ class Filter:
         """languages: those with more training texts first; keys: the n-grams of each."""
         if len(languages) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        cells = max(cells, 1 << int(24 * max(map(len, keys), default=0)).bit_length())
         self.languages, self.hashes, self.bits = languages, hashes, U64(cells.bit_length() - 1)
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * t().nbytes)
-        self.mask = np.zeros(cells, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * t().nbytes), np.uint64)
+        self.width = 8 * kind().nbytes
+        #: A row of words for each cell, with a bit for each language.
+        self.mask = np.zeros((cells, max(1, -(-len(languages) // self.width))), kind)
         for k, h in enumerate(keys):
+            word, bit = self.bit(k)
             for place in self.places(h):
-                self.mask[place] |= kind(1 << k)  # equal places get the same bit
+                self.mask[place, word] |= bit  # equal places get the same bit
         #: The chance that an n-gram which a language hasn't passes for it.
-        self.false = np.array([((self.mask >> kind(k) & kind(1)).mean()) ** hashes for k in range(len(languages))])
+        self.false = np.array([((self.mask[:, w] & b) > 0).mean() ** hashes for w, b in map(self.bit, range(len(languages)))])
+
+    def bit(self, k: int) -> tuple[int, np.unsignedinteger]:
+        return k // self.width, self.mask.dtype.type(1 << k % self.width)
 
     def places(self, h: np.ndarray):
         step = mix(h ^ U64(0x8CB92BA72F3D8DD7)) | U64(1)
@@ -91,7 +97,7 @@ class Filter:
             yield ((h + U64(k) * step) >> (U64(64) - self.bits)).astype(np.int64)
 
     def containing(self, h: np.ndarray) -> np.ndarray:
-        """The bitmask of languages that contain each n-gram."""
+        """The bitmask of languages that contain each n-gram: a row of words for each."""
         out = None
         for place in self.places(h):
             cell = self.mask[place]
@@ -108,7 +114,8 @@ class Filter:
                 languages = self.containing(h)
                 total += np.bincount(owner, minlength=n)
                 for k in range(n_languages):
-                    hits[k] += np.bincount(owner[languages & languages.dtype.type(1 << k) > 0], minlength=n)
+                    word, bit = self.bit(k)
+                    hits[k] += np.bincount(owner[languages[:, word] & bit > 0], minlength=n)
         if not n_languages:
             return [UNKNOWN] * n, [0.0] * n
         p = self.false[:, None]
@@ -138,7 +145,7 @@ def _count(batches):
                     )
 
 
-def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, per_size: int = GRAMS) -> Filter:
+def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Filter:
     """A filter from all labelled texts given; at most about `sample` of each language are read."""
     docs = labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
@@ -152,12 +159,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         chosen = chosen | ((F.col("lang") == name) & (chance < int(min(1.0, sample / sizes[name]) * 1_000_000)))
     counts = docs.filter(chosen).select("text", "lang").mapInArrow(_count, "lang string, size int, h long, n long")
     counts = written(counts.groupBy("lang", "size", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT), "n-grams")
-    totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    shares = counts.join(totals, ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
-    typical = shares.withColumn("top", F.max("share").over(W.partitionBy("size", "h"))).filter(F.col("share") >= MIN_RATIO * F.col("top"))
-    rank = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "h"))
-    best = typical.withColumn("rank", rank).filter(F.col("rank") <= per_size)
-    found = best.groupBy("lang").agg(F.collect_list("h").alias("h")).toArrow()  # bounded: `per_size` of each size
+    found = counts.groupBy("lang").agg(F.collect_list("h").alias("h")).toArrow()  # bounded by the sample
     keys = {name: h.values.to_numpy().view(U64) for name, h in zip(found.column("lang").to_pylist(), found.column("h"), strict=True)}
     return Filter(languages, [keys.get(x, np.zeros(0, U64)) for x in languages])
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlex.llm import bpe, exact_dedup, imatch, language_id, mixing, near_dedup, shards, substring_dedup, token_counts, url_filter
+from textlex.llm.tables import folder
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -61,7 +64,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.slots(table(spark, sf_dir, "documents"), n_shards=40)
+    """Writes the shards to the shared folder; the digest is of the records written."""
+    path = f"{folder(spark)}/shards-{uuid.uuid4().hex}"
+    placed = shards.write_shards(table(spark, sf_dir, "documents"), path, n_shards=40)
+    return placed.select("doc_id", *shards.ADDED)
 
 
 #: The listed entries: host, path, verdict.

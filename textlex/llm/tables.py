@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
     return f"{shared_dir(spark)}/textlex-{spark.sparkContext.applicationId}"
 
 
@@ -35,7 +36,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -47,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def clean(spark: SparkSession) -> None:
     """Deletes all intermediate tables of the application, once its results have been written elsewhere."""
-    _delete(spark, _folder(spark))
+    _delete(spark, folder(spark))
 
 
 def row_key(df: DataFrame) -> tuple[DataFrame, list[Column]]:
@@ -63,15 +64,23 @@ def row_key(df: DataFrame) -> tuple[DataFrame, list[Column]]:
     return df, [F.xxhash64(key[0]), F.xxhash64(F.lit(1), key[0]), key[1]]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
     """rows joined with groups (one row for each key, `size` rows of `rows` having it), left or inner.
 
     Groups with more than a thousandth of all `total` rows (a thousand of them at most) are broadcast, so that their rows
-    stay where they are; the rest are joined by a shuffle.
+    stay where they are; the rest are joined by a shuffle, whatever their size.
     """
     hot = groups.filter(F.col(size) * HOT_SHARE > total)
     cold = groups.filter(F.col(size) * HOT_SHARE <= total)
     columns = [*rows.columns, *[c for c in groups.columns if c not in keys]]
     of_hot = rows.join(F.broadcast(hot), keys).select(*columns)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return of_hot.unionByName(rest.join(cold, keys, how).select(*columns))
+    return of_hot.unionByName(rest.join(cold.hint("merge"), keys, how).select(*columns))

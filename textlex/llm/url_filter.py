@@ -10,8 +10,9 @@ entry get the default verdict.
 
 The filter is a scalar subquery of at most MAX_BLOCKS longs; more entries than that serves make more false
 positives, not other results. The list is broadcast up to BROADCAST_ROWS rows (it is counted first) and joined by
-a shuffle beyond. Joins run on different (host, path) pairs with possible hits, not on rows, so that a hot host or
-URL isn't a hot key.
+a shuffle beyond. Joins run on different (host, path) pairs with possible hits, not on rows. A second Bloom filter, of the URLs
+with a rule, keeps all other rows out of the last join; of the others, those of a URL with more than a thousandth of them get its verdict by a broadcast, and the rest
+by a shuffle, so that nothing that grows with the data is broadcast and no URL is a hot key.
 
 Defined cases: a null URL or one without `://` has an empty host and path and fits no entry; if an entry is
 listed with both verdicts, it blocks; rows that repeat each get a row; an empty table or list is fine; other
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlex.llm.tables import written
+from textlex.llm.tables import fresh, join_groups, written
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,9 +95,18 @@ def judge(df: DataFrame, entries: DataFrame, url: str = "url", keep: list[str] |
     # the array is evaluated once, as a subquery, before the scan starts
     words = bloom(listed.select("key"), blocks).scalar()
     tried = _candidates(F.col("host"), F.col("path"), sorted(shape.labels), sorted(shape.lengths))
-    possible = rows.select("host", "path", F.explode(tried).alias("key")).filter(might_contain(words, F.col("key"), blocks)).distinct()
-    hits = possible.join(F.broadcast(listed) if shape.n <= BROADCAST_ROWS else listed, "key")
+    n = fresh(rows, "n")
+    possible = rows.select("host", "path", F.explode(tried).alias("key")).filter(might_contain(words, F.col("key"), blocks))
+    possible = possible.groupBy("host", "path", "key").agg(F.count(F.lit(1)).alias(n))
+    hits = possible.join(F.broadcast(listed) if shape.n <= BROADCAST_ROWS else listed.hint("merge"), "key")
     rank = F.struct(F.col("host_length") + F.col("path_length"), "host_length")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), rank).alias("best"))
-    best = written(best.select("host", "path", F.col("best.key").alias("rule"), "best.verdict"), "url-verdicts")
-    return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), rank).alias("best"), F.max(n).alias(n))
+    best = written(best.select("host", "path", n, F.col("best.key").alias("rule"), "best.verdict"), "url-verdicts")
+    found = best.agg(F.count(F.lit(1)).alias("urls"), F.sum(n).alias("rows")).first()
+    # a filter of the URLs with a rule: the rows of others take no part in the join
+    blocks = min(MAX_BLOCKS, max(64, -(-found.urls * BITS_PER_ENTRY // 64)))
+    pair = lambda: F.concat("host", F.lit("\0"), "path")
+    with_rule = bloom(best.select(pair().alias("key")), blocks).scalar()
+    judged = join_groups(rows.filter(might_contain(with_rule, pair(), blocks)), best, ["host", "path"], n, found.rows or 1).drop(n)
+    rest = rows.filter(~might_contain(with_rule, pair(), blocks)).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    return judged.unionByName(rest).select(*keep, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
