@@ -6,12 +6,14 @@ import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Rows and characters that are turned into Python objects at once.
-ROWS, CHARS = 256, 4_000_000
+#: Rows and characters that are turned into Python objects at once, and characters for a byte of a packed text.
+ROWS, CHARS, PACKED = 256, 2_000_000, 3
 
 
 def kept(df: DataFrame, added: list[str], drop: tuple[str, ...] = ()) -> list[str]:
@@ -38,11 +40,25 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _size(column: pa.Array) -> np.ndarray | None:
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return size if pa.types.is_string(kind) or pa.types.is_large_string(kind) else size * PACKED
+    return None
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Short batches; none for empty ones."""
+    """Short batches, of `rows` rows and about CHARS characters (or one row) at most; none for empty ones."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        sizes = [s for c in batch.columns if (s := _size(c)) is not None]
+        upto = np.cumsum(np.sum(sizes, axis=0)) if sizes else np.zeros(batch.num_rows, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + CHARS, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
     del batches
     release()
 

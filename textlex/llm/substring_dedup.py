@@ -43,7 +43,7 @@ from textlex.llm.tables import join_groups, written
 from textlex.llm.words import Hasher, mix, of_sequences, windows
 
 WINDOW, PERIOD, COVER = 35, 21, (3, 6, 7, 12, 14)
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Repeated ids are broadcast up to this number and joined by a shuffle beyond.
 FEW = 500_000
 #: In place of an anchor's place: one of several equal texts, which stands for them; another of them.
@@ -80,7 +80,7 @@ class _Sender:
             return
         *hashes, key, place, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order = np.lexsort(hashes[::-1]) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+        order = np.argsort(hashes[0], kind="stable")
         hashes, key, place, n = [h[order] for h in hashes], key[order], place[order], n[order]
         new = np.logical_or.reduce([h[1:] != h[:-1] for h in hashes])
         first = np.flatnonzero(np.concatenate(([True], new)))
