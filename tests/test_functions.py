@@ -16,22 +16,22 @@ def one(spark, column, *values):
 
 @pytest.mark.parametrize(
     "given, want",
-    [("spas!", ["spas"]), ("sal 2026", ["sal"]), ("123", []), ("l'amour", ["l", "amour"]), ("xwe-xwe", ["xwe", "xwe"]), ("rojbaş, heval!", ["rojbaş", "heval"]), ("évar", ["évar"]),
-     ("Contact user@example.com at https://kurdi.org/docs", ["contact", "user", "example", "com", "at", "https", "kurdi", "org", "docs"]), ("", [])],
+    [("Hello!", ["hello"]), ("year 2031", ["year"]), ("42", []), ("d'eau", ["d", "eau"]), ("semi-dry", ["semi", "dry"]), ("çem, kevir!", ["çem", "kevir"]), ("e\u0301t\u00e9", ["été"]),
+     ("write to me@shop.example or http://shop.example/a_b", ["write", "to", "me", "shop", "example", "or", "http", "shop", "example", "a", "b"]), ("", [])],
 )
 def test_tokens(spark, given, want):
     assert one(spark, T.tokens, given) == want
 
 
-@pytest.mark.parametrize("given, want", [("Ez baş im... Tu çawa yî?", ["Ez baş im...", "Tu çawa yî?"]), ("?! Ez baş im.", ["Ez baş im."]), ("Ez baş im; tu çawa yî?", ["Ez baş im; tu çawa yî?"]), ("a\nb", ["a\nb"]), ("", [])])
+@pytest.mark.parametrize("given, want", [("It rains... Will it stop?", ["It rains...", "Will it stop?"]), ("?! It rains.", ["It rains."]), ("It rains; it stops", ["It rains; it stops"]), ("a\nb", ["a\nb"]), ("", [])])
 def test_sentences(spark, given, want):
     assert one(spark, T.sentences, given) == want
 
 
 def test_normal_forms(spark):
-    assert one(spark, T.normalize, "ROJBAŞ") == "rojbaş"
-    assert one(spark, T.strip_diacritics, "rojbaş bijî pirtûk çav êdî é") == "rojbas biji pirtuk cav edi é"
-    assert one(spark, T.normalize_text, "roj​baş") == "rojbaş"
+    assert one(spark, T.normalize, "ŞÛŞE") == "şûşe"
+    assert one(spark, T.strip_diacritics, "şûşe derî çem hêk é") == "suse deri cem hek é"
+    assert one(spark, T.normalize_text, "mal​bat") == "malbat"
     assert one(spark, T.nfc, None) is None
     assert one(spark, T.document_key, "a \r\nb\t\r\r\n\n") == "a\nb"
     assert one(spark, T.graphemes, "é") == 1
@@ -46,12 +46,12 @@ def test_shape(spark):
     flags = lambda w: {k for k, v in spark.createDataFrame([(w, w.lower())], "a string, b string").select(*[c.alias(k) for k, c in T.shape(F.col("a"), F.col("b")).items() if "length" not in k]).first().asDict().items() if v}
     assert {"punctuation_only", "no_letters"} <= flags("!")
     assert "symbol_only" in flags("$") and "digit_only" in flags("123") and "no_letters" in flags("123!")
-    assert "uppercase_only" in flags("ABC") and "title_case" in flags("Rojbaş") and "title_case" not in flags("A中")
+    assert "uppercase_only" in flags("ABC") and "title_case" in flags("Malbat") and "title_case" not in flags("A中")
 
 
 def test_distance():
     q = distance.quarters
-    assert [q("biji", "bijî"), q("rojbas", "rojbaş"), q("r", "t"), q("a", "s"), q("rjobaş", "rojbaş"), q("", "ab"), q("z", "s")] == [1, 1, 3, 3, 3, 8, 4]
+    assert [q("deri", "derî"), q("suşe", "şuşe"), q("r", "t"), q("a", "s"), q("kveir", "kevir"), q("", "ab"), q("z", "s")] == [1, 1, 3, 3, 3, 8, 4]
     rng = random.Random(1)
     words = ["".join(rng.choice("aeişsrtn") for _ in range(rng.randrange(6))) for _ in range(60)]
     for a, b in itertools.combinations(words, 2):

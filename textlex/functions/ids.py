@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from textlex.functions import text as T
 
-#: Domain tags of the identities, schema versions and name segments that people may not have.
-ENTRY_TAG, GROUP_TAG = "kurmanci-review-entry-v1", "kurmanci-review-group-v1"
-CASE_TAG, PROVENANCE_TAG = "kurmanci-spelling-case-v1", "kurmanci-benchmark-source-provenance-v1"
+#: Domain tags of the identities: this library's own. Who needs identities that another system made gives its tags to the functions.
+ENTRY_TAG, GROUP_TAG, CASE_TAG, PROVENANCE_TAG = "textlex-entry", "textlex-group", "textlex-case", "textlex-provenance"
+#: The schema version and name segments that people may not have.
 DECISION_VERSION = "review-decision-v1"
 RESERVED = ["ai", "assistant", "auto", "automatic", "bot", "chatgpt", "system"]
 
@@ -33,13 +33,13 @@ def fields(values: Column) -> Column:
     return _joined(F.transform(values, field))
 
 
-def entry_id(source: Column, revision: Column, display: Column, normalized: Column, flags: Column, morphology: Column) -> Column:
-    head = F.concat(*map(field, (F.lit(ENTRY_TAG), source, revision, T.nfc(display), T.normalize_text(normalized), flags)))
+def entry_id(source: Column, revision: Column, display: Column, normalized: Column, flags: Column, morphology: Column, tag: str = ENTRY_TAG) -> Column:
+    head = F.concat(*map(field, (F.lit(tag), source, revision, T.nfc(display), T.normalize_text(normalized), flags)))
     return F.sha2(F.concat(head, fields(F.array_sort(morphology))), 256)
 
 
-def group_id(normalized: Column, members: Column) -> Column:
-    return F.sha2(F.concat(field(F.lit(GROUP_TAG)), field(T.normalize_text(normalized)), fields(F.array_sort(members))), 256)
+def group_id(normalized: Column, members: Column, tag: str = GROUP_TAG) -> Column:
+    return F.sha2(F.concat(field(F.lit(tag)), field(T.normalize_text(normalized)), fields(F.array_sort(members))), 256)
 
 
 def _optional(present: Column, body: Column) -> Column:
@@ -63,15 +63,15 @@ def expectation(e: Column) -> Column:
     )
 
 
-def case_id(task: Column, category: Column, given: Column, context: Column, expected: Column) -> Column:
+def case_id(task: Column, category: Column, given: Column, context: Column, expected: Column, tag: str = CASE_TAG) -> Column:
     """The context keeps its order; none counts as an empty one."""
     empty = F.array().cast("array<string>")
-    return F.sha2(F.concat(field(F.lit(CASE_TAG)), field(task), field(category), field(given), _list(F.coalesce(context, empty)), expectation(expected)), 256)
+    return F.sha2(F.concat(field(F.lit(tag)), field(task), field(category), field(given), _list(F.coalesce(context, empty)), expectation(expected)), 256)
 
 
-def provenance_id(kind: Column, source: Column, document: Column, record: Column) -> Column:
+def provenance_id(kind: Column, source: Column, document: Column, record: Column, tag: str = PROVENANCE_TAG) -> Column:
     optional = lambda c: _optional(c.isNotNull(), field(F.coalesce(c, F.lit(""))))
-    return F.sha2(F.concat(field(F.lit(PROVENANCE_TAG)), field(kind), optional(source), optional(document), optional(record)), 256)
+    return F.sha2(F.concat(field(F.lit(tag)), field(kind), optional(source), optional(document), optional(record)), 256)
 
 
 def _calendar(date: Column) -> Column:

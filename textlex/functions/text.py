@@ -14,6 +14,8 @@ WHITE_SPACE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x
 #: Letters with a diacritic and their plain letters.
 MARKED, PLAIN = "îûşçê", "iusce"
 SEPARATORS = rf"[\p{{P}}\p{{S}}{WHITE_SPACE}]+"
+#: A run between separators that holds a letter, found in one pass.
+WORD = rf"(?<![^\p{{P}}\p{{S}}{WHITE_SPACE}])[^\p{{P}}\p{{S}}\p{{L}}{WHITE_SPACE}]*+\p{{L}}[^\p{{P}}\p{{S}}{WHITE_SPACE}]*+"
 SENTENCE = r"[^.!?…۔]*[.!?…۔]+|[^.!?…۔]+$"
 
 
@@ -42,7 +44,7 @@ def strip_diacritics(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words in lower case: runs between punctuation, symbols and white space that hold a letter."""
-    return F.filter(F.split(normalize(text), SEPARATORS), lambda w: w.rlike(r"\p{L}"))
+    return F.regexp_extract_all(normalize(text), F.lit(WORD), F.lit(0))
 
 
 def trim_space(text: Column) -> Column:
