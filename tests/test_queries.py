@@ -56,12 +56,12 @@ def test_edit_candidates_miss_nothing(spark):
 def test_suggestions(spark):
     rows = search.suggest(ASKED.frame(spark), SEED.frame(spark), 10).collect()
     first = {r.query: (r.text, r.kind) for r in rows if r.rank == 1}
-    assert first["rojb"] == ("rojbaş", "Completion") and first["biji"][0] == "bijî" and first["rojbas"][0] == "rojbaş" and first["ROJBAŞ"] == ("rojbaş", "Exact")
+    assert first["malb"] == ("malbat", "Completion") and first["deri"][0] == "derî" and first["hek"][0] == "hêk" and first["MALBAT"] == ("malbat", "Exact")
     texts = {}
     for r in rows:
         texts.setdefault(r.query, []).append(r.text)
         assert 0.01 <= r.score <= 0.99
-    assert "spas" in texts["spaz"] and "heval" in texts["hevall"] and "nonexistentword123" not in texts
+    assert "kevir" in texts["kevri"] and "nan" in texts["nann"] and "xyzzyword42" not in texts
     assert search.clamp_limit(0) == 0 and search.clamp_limit(100) == 50 and search.clamp_limit() == 5
     assert search.suggest(ASKED.frame(spark), SEED.frame(spark), 0).count() == 0
 
@@ -78,7 +78,7 @@ def test_probability_and_backoff(spark):
 
 def test_merge_and_build(spark):
     rows = {r.normalized: r for r in lexicon.merge(ENTRIES.frame(spark)).collect()}
-    assert rows["rojbaş"].word == "rojbaş" and rows["rojbaş"].frequency == 84231 and rows["rojbaş"].sources == ["manual-seed", "wiktionary"]
+    assert rows["sêvik"].word == "sêvik" and rows["sêvik"].frequency == 840 and rows["sêvik"].sources == ["manual-seed", "wiktionary"]
     assert rows["amed"].word == "Amed" and rows["amed"].frequency == 90
     built = pipelines.build_lexicon(ENTRIES.frame(spark), documents.freq(spark, SMALL))
     assert {"", "x1"}.isdisjoint({r.normalized for r in built.collect()})
@@ -94,11 +94,75 @@ def test_empty_documents(spark):
 
 def test_seed_pack_and_validation(spark):
     assert {r.population for r in reviews.pack(spark, "seed").collect()} == {"manual_seed"}
+    groups = {r.normalized: r.group_id for r in reviews.groups(spark).collect()}
+    of = lambda name: {(r.normalized, r.display, r.population) for r in reviews.pack(spark, name).filter("population <> 'manual_seed'").collect()}
+    assert of("reviewed") == {("lîstin", "lîstin", "external_approved"), ("hirçan", "Hirçan", "external_approved_metadata_change"), ("ac-dc", "AC-DC", "external_approved_metadata_change"), ("sêvik", "sêvik", "external_approved_metadata_change")}
+    full = {(n, p) for n, _, p in of("experimental-full")}
+    assert {("hêk", "external_experimental_only"), ("stêr", "external_unreviewed"), ("derî", "external_unreviewed"), ("lîstin", "external_approved")} <= full and not any(n == "masî" for n, _ in full) and set(groups) == {"lîstin", "derî", "hirç", "hêk", "masî", "stêr"}
     got = {r.case_id: r.problem for r in reviews.CASES.frame(spark).select("case_id", evaluate.case_problem().alias("problem")).collect()}
     assert got == {"c1": None, "c2": "REVIEWER", "c3": None, "c4": "DRAFT_WITH_REVIEW", "c5": "REVIEW_DATE", "c6": "TASK_CATEGORY", "c7": None, "c8": None}
-    assert pipelines.build_pack("experimental-full", reviews.seed(spark), reviews.entries(spark), reviews.valid_decisions(spark)).count() > 33
+    built = pipelines.build_pack("experimental-full", reviews.seed(spark), reviews.entries(spark), reviews.valid_decisions(spark)).collect()
+    assert len(built) > 24 and [(r.normalized, r.display) for r in built] == sorted((r.normalized, r.display) for r in built)
+
+
+def test_group_decisions_must_fit(spark):
+    from textlex.operators import review
+
+    d = reviews.valid_decisions(spark)
+    decided = review.effective_status(reviews.entries(spark), d)
+    for wrong in (d.withColumn("resolution", F.lit(None).cast("string")), d.withColumn("selected_entry_id", F.lit("none"))):
+        with pytest.raises(Exception, match="unresolved conflict group"):
+            review.select_pack("reviewed", reviews.seed(spark), decided, reviews.groups(spark), wrong).collect()
+
+
+def test_compare_packs(spark):
+    """The packs' own answers, against suggestions over a plain list of each pack's words."""
+    got = {(r.case_id, r.pack): r["class"] for r in plans.QUERIES["compare_packs"](spark, SMALL).collect()}
+    assert set(p for _, p in got) == {"reviewed", "experimental-full"} and len(got) == 16
+    results = {(r.case_id, r.pack): r for r in evaluate.pack_results(reviews.CASES.frame(spark), {n: reviews.pack_lexicon(spark, n) for n in ("seed", "experimental-full")}).collect()}
+    for case in reviews.CASES.frame(spark).collect():
+        for name in ("seed", "experimental-full"):
+            words = reviews.pack_lexicon(spark, name)
+            one = spark.createDataFrame([(case.input,)], "query string")
+            assert results[case.case_id, name].suggestions == [r.text for r in search.suggest(one, words, 10).orderBy("rank").collect()]
+    assert results["c1", "seed"].is_known and not results["c2", "seed"].is_known
+
+
+def test_ranking_and_impact(spark):
+    row = plans.QUERIES["lexicon_impact"](spark, SMALL).first()
+    assert (row.entries, row["items"], row.known_percent, row.top_1_percent, row.top_5_percent) == (24, 7, 85.71, 85.71, 85.71) and row.completion_percent == 85.71
+    r = plans.QUERIES["ranking_search"](spark, SMALL).first()
+    assert r.cases == 8 and r.improved + r.regressed + r.unchanged == 8 and r.experiment_top_1 >= r.baseline_top_1
+
+
+def test_roll_up(spark):
+    from textlex.operators import audit
+    from textlex.plans import lexical
+
+    row = pipelines.audit_lexicon(documents_records(spark), lexical.parsed(spark), reviews.seed(spark), reviews.ITEMS.frame(spark))["roll_up"].first()
+    assert row.records == 22 and row.shapes["total"] == 22 and row.cross_check.conflict_groups == 6 and row.benchmark.size == 7
+    assert row.suspicious == audit.suspicious(documents_records(spark)).count() and sum(row.rejections.values()) == 2
+    ordered = audit.suspicious(documents_records(spark)).orderBy(*audit.suspicious_order()).collect()
+    assert [(r.category, r.normalized, r.line_num) for r in ordered] == sorted((r.category, r.normalized, r.line_num) for r in ordered)
+
+
+def documents_records(spark):
+    from textlex.plans.inline import RECORDS
+
+    return RECORDS.frame(spark)
+
+
+def test_orders(spark):
+    parts = plans.QUERIES["partition_docs"](spark, SMALL).orderBy(*corpus.partition_order()).collect()
+    assert [(r.corpus_id, r.document_id) for r in parts] == sorted((r.corpus_id, r.document_id) for r in parts)
+    from textlex.operators import review
+
+    rows = [(r.normalized, r.display, r.source_id, r.source_revision, r.target_id) for r in reviews.QUEUED.frame(spark).orderBy(*review.queue_order()).collect()]
+    assert rows == sorted(rows)
+    words = evaluate.vocabulary(spark.createDataFrame([("a",), ("b",)], "word string"), spark.createDataFrame([("b",), ("c",)], "word string"))
+    assert sorted(r.word for r in words.collect()) == ["a", "b", "c"]
 
 
 def test_queue_routing(spark):
     got = {(r.queue, r.normalized) for r in reviews.queue_rows(spark).collect()}
-    assert ("capitalization-anomalies", "ac/dc") in got and any(q == "parser-rejections" for q, _ in got) and ("hunspell-only", "rojbaş") not in got and ("hunspell-only", "axivtin") in got
+    assert ("capitalization-anomalies", "ac/dc") in got and any(q == "parser-rejections" for q, _ in got) and ("hunspell-only", "derî") not in got and ("hunspell-only", "lîstin") in got

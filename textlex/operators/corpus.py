@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from textlex.functions import text as T
 
-#: The domain tag of the partition hash, and the shares of a hundred up to which a partition goes.
-PARTITION_TAG = "kurmanci-partition-v1"
+#: The domain tag of the partition hash, where none is given.
+PARTITION_TAG = "textlex-partition"
+#: The shares of a hundred up to which a partition goes.
 PARTITIONS = [(80, "train"), (90, "development"), (100, "evaluation")]
 
 
@@ -18,8 +19,8 @@ def canonical(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("source").alias("corpus_id"), F.col("doc_id").cast("string").alias("document_id"), "text", "lang")
 
 
-def assign_partition(key: Column) -> Column:
-    digest = F.sha2(F.concat(F.lit(PARTITION_TAG + "\0"), key), 256)
+def assign_partition(key: Column, tag: str = PARTITION_TAG) -> Column:
+    digest = F.sha2(F.concat(F.lit(tag + "\0"), key), 256)
     share = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % 100
     out = F.lit(PARTITIONS[-1][1])
     for upto, name in reversed(PARTITIONS[:-1]):
@@ -42,6 +43,11 @@ def partition_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def partition_order() -> list[str]:
+    """Sort keys of partitioned documents."""
+    return ["corpus_id", "document_id"]
+
+
 def leakage(partitioned: DataFrame) -> DataFrame:
     """Groups that lie in several partitions; there are none."""
     return partitioned.groupBy("duplicate_group_id").agg(F.countDistinct("partition").alias("partitions")).filter("partitions > 1")
@@ -64,21 +70,37 @@ def token_totals(docs: DataFrame) -> DataFrame:
     return counted.rollup("lang", "corpus_id").agg(F.sum("n").alias("tokens"))
 
 
-def quality(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """By corpus: tokens of each class, tokens in the lexicon (word), and second and later copies of documents."""
-    words = docs.select("corpus_id", F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("corpus_id", "word").agg(F.count(F.lit(1)).alias("n"))
+def breakdown(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """Tokens by license and by domain of the corpora: kind, name, tokens. registry: corpus_id, corpus_name, license, notes."""
+    counted = docs.groupBy("corpus_id").agg(F.sum(F.size(T.tokens(F.col("text")))).alias("n"))
+    rows = counted.join(registry.select("corpus_id", "license", domain_of(F.col("corpus_name"), F.col("notes")).alias("domain")), "corpus_id")
+    sums = rows.groupingSets([["license"], ["domain"]], "license", "domain").agg(F.sum("n").alias("tokens"), F.grouping("license").alias("g"))
+    return sums.select(F.when(F.col("g") == 0, "license").otherwise("domain").alias("kind"), F.coalesce("license", "domain").alias("name"), "tokens")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """corpus_id, word, n (tokens), documents: one pass over the texts, from which lexicon and quality come."""
+    words = docs.select("corpus_id", "document_id", F.explode(T.tokens(F.col("text"))).alias("word"))
+    each = words.groupBy("corpus_id", "word", "document_id").agg(F.count(F.lit(1)).alias("k"))
+    return each.groupBy("corpus_id", "word").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("documents"))
+
+
+def quality(docs: DataFrame, lexicon: DataFrame | None = None, least_documents: int = 1) -> DataFrame:
+    """By corpus and for all (null): tokens of each class, tokens in the lexicon (word; without one, the words of so many documents),
+    and second and later copies of documents."""
+    words = word_counts(docs)
+    if lexicon is None:
+        lexicon = words.groupBy("word").agg(F.sum("documents").alias("d")).filter(F.col("d") >= least_documents)
     known = lexicon.select("word").distinct().withColumn("known", F.lit(1))
     classed = words.join(known, "word", "left").withColumn("class", T.token_class(F.col("word")))
-    sums = classed.groupBy("corpus_id").agg(
-        F.sum("n").alias("tokens"),
-        F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("known_tokens"),
-        F.sum(F.when(F.col("class") == "latin", F.col("n")).otherwise(0)).alias("latin_tokens"),
-        F.sum(F.when(F.col("class") != "latin", F.col("n")).otherwise(0)).alias("other_tokens"),
-    )
+    part = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    latin = F.col("class") == "latin"
+    sums = classed.rollup("corpus_id").agg(F.sum("n").alias("tokens"), part(F.col("known") == 1).alias("known_tokens"), part(latin).alias("latin_tokens"), part(~latin).alias("other_tokens"))
     keyed = docs.select("corpus_id", "document_id", T.duplicate_group_id(F.col("text")).alias("g"))
-    first = keyed.groupBy("g").agg(F.min(F.struct("corpus_id", "document_id")).alias("first"))
-    later = keyed.join(first, "g").groupBy("corpus_id").agg(F.count_if(F.struct("corpus_id", "document_id") != F.col("first")).alias("duplicate_members"))
-    return sums.join(later, "corpus_id", "left")
+    members = keyed.groupBy("g", "corpus_id").agg(F.count(F.lit(1)).alias("n"))
+    first = keyed.groupBy("g").agg(F.min(F.struct("corpus_id", "document_id")).alias("first")).select("g", F.col("first.corpus_id").alias("corpus_id"), F.lit(1).alias("is_first"))
+    later = members.join(first, ["g", "corpus_id"], "left").rollup("corpus_id").agg(F.sum(F.col("n") - F.coalesce("is_first", F.lit(0))).alias("duplicate_members"))
+    return sums.join(later.withColumnRenamed("corpus_id", "c"), F.col("corpus_id").eqNullSafe(F.col("c")), "left").drop("c")
 
 
 def document_duplicates(docs: DataFrame) -> DataFrame:
@@ -88,9 +110,15 @@ def document_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def sentence_duplicates(docs: DataFrame) -> DataFrame:
-    s = docs.select("document_id", F.explode(T.sentences(F.col("text"))).alias("sentence")).select("document_id", T.sentence_key(F.col("sentence")).alias("sentence"))
-    found = s.groupBy("sentence").agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("document_id")).filter("n > 1")
-    return found.select(F.sha2("sentence", 256).alias("sentence_id"), "n", "document_id")
+    s = docs.select("document_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    s = s.select("document_id", F.sha2(T.sentence_key(F.col("sentence")), 256).alias("sentence_id"))
+    return s.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("document_id")).filter("n > 1")
+
+
+def duplicate_files(docs: DataFrame) -> DataFrame:
+    """Files with equal contents: source_sha256 and their names."""
+    files = docs.select("source_sha256", "source_file").distinct().groupBy("source_sha256").agg(F.array_sort(F.collect_list("source_file")).alias("files"))
+    return files.filter(F.size("files") > 1)
 
 
 def token_classes(docs: DataFrame) -> DataFrame:

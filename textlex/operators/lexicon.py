@@ -50,6 +50,16 @@ def merge(entries: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
+def combined(seed: DataFrame, imported: DataFrame) -> DataFrame:
+    """Seed and imported entries, merged; the seed's come first."""
+    return merge(seed.withColumn("_side", F.lit(0)).unionByName(imported.withColumn("_side", F.lit(1))).withColumn("ord", F.struct("_side", "ord")).drop("_side"))
+
+
+def ordered(entries: DataFrame) -> DataFrame:
+    """Frequency descending, then normalized form."""
+    return entries.orderBy(F.desc("frequency"), "normalized")
+
+
 def with_frequency(lexicon: DataFrame, freq: DataFrame) -> DataFrame:
     counts = freq.select(F.col("word").alias("normalized"), "token_count", "document_count", F.round(F.col("zipf") * 1000).cast("long").alias("zipf_milli"))
     return lexicon.join(counts, "normalized", "left").fillna(0, ["token_count", "document_count", "zipf_milli"])

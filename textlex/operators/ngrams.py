@@ -19,15 +19,23 @@ def windows(docs: DataFrame, n: int) -> DataFrame:
     return words.filter(F.size("w") >= n).select(F.explode(runs).alias("r")).select("r.*")
 
 
-def raw_counts(docs: DataFrame, n: int) -> DataFrame:
-    """Counts of each run and of its context, before pruning."""
-    counts = windows(docs, n).groupBy(*CONTEXT[n], "next").agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("context_count", F.sum("count").over(W.partitionBy(*CONTEXT[n])))
+def raw_counts(docs: DataFrame, n: int, contexts: DataFrame | None = None) -> DataFrame:
+    """Counts of each run, before pruning; of given contexts only."""
+    runs = windows(docs, n)
+    if contexts is not None:
+        runs = runs.join(contexts.select(*CONTEXT[n]).distinct(), CONTEXT[n], "left_semi")
+    return runs.groupBy(*CONTEXT[n], "next").agg(F.count(F.lit(1)).alias("count"))
 
 
-def model(docs: DataFrame, n: int, least: int = 2) -> DataFrame:
+def model(docs: DataFrame, n: int, least: int = 2, contexts: DataFrame | None = None) -> DataFrame:
+    """Runs that occur `least` times, with the count of their context and the probability in millionths.
+
+    The contexts' sums come from partial sums of each task and are joined, so that a frequent context isn't one task's.
+    """
+    counts = raw_counts(docs, n, contexts)
+    sums = counts.groupBy(*CONTEXT[n]).agg(F.sum("count").alias("context_count"))
     probability = F.expr("cast((count * 1000000 + context_count div 2) div context_count as bigint)")
-    return raw_counts(docs, n).filter(F.col("count") >= least).withColumn("probability_millionths", probability)
+    return counts.filter(F.col("count") >= least).join(sums, CONTEXT[n]).withColumn("probability_millionths", probability)
 
 
 def top_per_context(grams: DataFrame, n: int, limit: int | None = None) -> DataFrame:
@@ -45,7 +53,7 @@ def context_distribution(grams: DataFrame, n: int) -> DataFrame:
 
 
 def summary(docs: DataFrame, n: int, least: int = 2) -> DataFrame:
-    """One row: windows, different runs before and after pruning, contexts, and runs over the limit of a context."""
+    """One row: sentences, windows, different runs before and after pruning, contexts, and runs over the limit of a context."""
     raw = raw_counts(docs, n)
     over = top_per_context(model(docs, n, least), n, 1 << 30).agg(F.count_if(F.col("rank") > TOP[n]).alias("capacity_pruned"))
     sums = raw.agg(
@@ -55,7 +63,8 @@ def summary(docs: DataFrame, n: int, least: int = 2) -> DataFrame:
         F.count_if(F.col("count") < least).alias("count_pruned"),
     )
     contexts = raw.filter(F.col("count") >= least).select(*CONTEXT[n]).distinct().agg(F.count(F.lit(1)).alias("contexts"))
-    return sums.select("*", contexts.scalar().alias("contexts"), over.scalar().alias("capacity_pruned"))
+    sentences = docs.agg(F.coalesce(F.sum(F.size(T.sentences(F.coalesce("text", F.lit(""))))), F.lit(0)).alias("sentences"))
+    return sums.select("*", contexts.scalar().alias("contexts"), over.scalar().alias("capacity_pruned"), sentences.scalar().alias("sentences"))
 
 
 def eligibility(grams: DataFrame, lexicon: DataFrame, n: int) -> DataFrame:

@@ -15,6 +15,8 @@ from textlex.functions.distance import distance_quarters, edit_cost
 #: Kinds in order of priority, and their bonus in the score.
 KINDS = {"Exact": 0.50, "DiacriticCorrection": 0.40, "Completion": 0.30, "Correction": 0.10, "NextWord": 0.20}
 MAX_QUARTERS, LENGTH_BAND, EXACT_QUALITY, SCORE_FREQUENCY = 8, 2, 100, 1000
+#: Words of up to LONG letters are compared by their deletions; longer ones by SEGMENTS parts, as an edit touches two parts at most.
+LONG, SEGMENTS = 16, 5
 
 
 def clamp_limit(limit: int | None = None) -> int:
@@ -33,9 +35,10 @@ def known_words(inputs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def prefix_matches(q: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Entries that begin with q: an equi-join on all beginnings of the entries that some query has the length of."""
-    starts = lexicon.withColumn("n", F.explode(F.sequence(F.lit(1), F.char_length("normalized")))).withColumn("q", F.substring(F.col("normalized"), F.lit(1), F.col("n"))).drop("n")
-    return q.join(starts, "q")
+    """Entries that begin with q: an equi-join on the beginnings of the entries that some query has the length of."""
+    lengths = q.select(F.char_length("q").alias("n")).distinct()  # as many as there are lengths
+    starts = lexicon.withColumn("n", F.explode(F.sequence(F.lit(1), F.char_length("normalized")))).join(F.broadcast(lengths), "n")
+    return q.join(starts.withColumn("q", F.substring(F.col("normalized"), F.lit(1), F.col("n"))).drop("n"), "q")
 
 
 def diacritic_matches(q: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -54,11 +57,44 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, _without_one(one)))
 
 
+def _segments(word: Column, length: Column) -> Column:
+    """(k, first place, size) of the SEGMENTS parts of a word of that length."""
+    cut = lambda k: F.floor(length * k / SEGMENTS).cast("int")
+    return F.array(*[F.struct(F.lit(k).alias("k"), (cut(k) + 1).alias("at"), (cut(k + 1) - cut(k)).alias("size")) for k in range(SEGMENTS)])
+
+
+def _segment_key(length: Column, part: Column, text: Column) -> Column:
+    return F.concat_ws("/", length.cast("string"), part.getField("k").cast("string"), F.sha2(text, 256))
+
+
+def entry_keys(word: Column) -> Column:
+    """Deletions of a short word; the parts of a long one, of which two edits leave one as it is."""
+    n = F.char_length(word)
+    parts = F.transform(_segments(word, n), lambda s: _segment_key(n, s, F.substring(word, s.getField("at"), s.getField("size"))))
+    return F.when(n <= LONG, deletions(F.when(n <= LONG, word))).otherwise(parts)
+
+
+def query_keys(word: Column) -> Column:
+    """All keys that an entry within two edits may have: as many as a long word's, whatever its length."""
+    n = F.char_length(word)
+    shifts = F.array(*[F.lit(k) for k in range(-LENGTH_BAND, LENGTH_BAND + 1)])
+
+    def of(length):
+        at = lambda s, shift: s.getField("at") + shift
+        each = lambda s: F.transform(shifts, lambda shift: F.when(at(s, shift) >= 1, _segment_key(length, s, F.substring(word, at(s, shift), s.getField("size")))))
+        return F.flatten(F.transform(_segments(word, length), each))
+
+    long = F.flatten(F.transform(F.filter(F.transform(shifts, lambda d: n + d), lambda m: m > LONG), of))
+    none = F.array().cast("array<string>")
+    short = F.when(n <= LONG + LENGTH_BAND, deletions(F.when(n <= LONG + LENGTH_BAND, word))).otherwise(none)
+    return F.array_distinct(F.array_compact(F.concat(short, F.when(n > LONG - LENGTH_BAND, long).otherwise(none))))
+
+
 def edit_matches(q: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Entries within a weighted distance of 2, with `quarters`; no diacritic matches of other words."""
     plain = F.translate("normalized", T.MARKED, T.PLAIN)
-    left = q.withColumn("key", F.explode(deletions(F.col("q_plain"))))
-    right = lexicon.withColumn("key", F.explode(deletions(plain)))
+    left = q.withColumn("key", F.explode(query_keys(F.col("q_plain"))))
+    right = lexicon.withColumn("key", F.explode(entry_keys(plain)))
     near = left.join(right, "key").drop("key").filter(F.abs(F.char_length("normalized") - F.char_length("q")) <= LENGTH_BAND)
     near = near.filter((plain != F.col("q_plain")) | (F.col("normalized") == F.col("q"))).dropDuplicates(["query", "normalized"])
     return near.withColumn("quarters", distance_quarters("q", "normalized")).filter(F.col("quarters") <= MAX_QUARTERS)
@@ -119,6 +155,7 @@ def score() -> Column:
     return F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), frequency * 0.35 + bonus + prefix - F.col("edit_cost") / 10 * 0.35)), 9)
 
 
+#: The wordings of the reasons.
 def reason(use_frequency: bool = True) -> Column:
     frequent = (F.col("zipf_milli") > 0) & F.lit(use_frequency)
     first = F.when(F.col("kind") == "Completion", F.concat(F.lit("prefix match quality "), F.col("prefix_quality"))).otherwise(F.concat(F.lit("lower edit cost (cost: "), F.col("edit_cost"), F.lit(")")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlex.functions import text as T
 from textlex.operators import corpus, frequency, ngrams
+from textlex.plans.inline import BROKEN, REGISTRY
 
 LEXICON_DOCUMENTS = 3  # a word of at least so many documents is in the lexicon
 
@@ -36,8 +37,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs up to this many bytes are dealt to all cores before the texts are worked on: a small file may be a single split.
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table in as many parts as there are cores; larger ones have splits enough and aren't moved."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL_INPUT else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.canonical(read(spark, sf_dir, "documents"))
+    return corpus.canonical(spread(read(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang"), "doc_id"))
 
 
 def freq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +63,10 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEXICON = f"{FREQ}, lexicon AS (SELECT * FROM freq WHERE document_count >= {LEXICON_DOCUMENTS})"
 
 
+def registry(spark):
+    return REGISTRY.frame(spark)
+
+
 def sentence_rows(spark, sf_dir):
     d = docs(spark, sf_dir).select("document_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
     return d.select("document_id", F.col("place").cast("long").alias("place"), "sentence", T.sentence_key(F.col("sentence")).alias("sentence_key"))
@@ -96,7 +111,7 @@ def _gram_queries() -> tuple[dict, dict]:
         q[f"{name}_summary"] = lambda s, d, n=n: ngrams.summary(docs(s, d), n)
         sql[f"{name}_summary"] = f"""WITH {raw} SELECT (SELECT sum(count)::BIGINT FROM raw) AS windows, (SELECT count(*) FROM raw) AS raw_distinct,
           (SELECT count(*) FROM model) AS pruned_distinct, (SELECT count(*) FROM raw WHERE count < 2) AS count_pruned,
-          (SELECT count(*) FROM (SELECT DISTINCT {keys} FROM model)) AS contexts, (SELECT count(*) FROM ranked WHERE rank > {ngrams.TOP[n]}) AS capacity_pruned"""
+          (SELECT sum(len(s))::BIGINT FROM pieces) AS sentences, (SELECT count(*) FROM (SELECT DISTINCT {keys} FROM model)) AS contexts, (SELECT count(*) FROM ranked WHERE rank > {ngrams.TOP[n]}) AS capacity_pruned"""
         q[f"{name}_oov"] = lambda s, d, n=n: ngrams.oov_summary(ngrams.model(docs(s, d), n), lexicon(s, d), n)
         flags = {c: f"{c} NOT IN (SELECT word FROM lexicon)" for c in [*ctx, "next"]}
         sql[f"{name}_oov"] = (
@@ -105,7 +120,10 @@ def _gram_queries() -> tuple[dict, dict]:
             + f", count(*) FILTER (NOT ({' OR '.join(flags.values())})) AS eligible, count(*) AS runs FROM model"
         )
         q[f"{name}_violations"] = lambda s, d, n=n: ngrams.violations(ngrams.model(docs(s, d), n), n)
-        sql[f"{name}_violations"] = f"WITH {raw} SELECT * FROM model WHERE count > context_count OR probability_millionths NOT BETWEEN 1 AND 1000000"
+        sql[f"{name}_violations"] = f"WITH {raw}, again AS (SELECT *, count(*) OVER (PARTITION BY {keys}, next) AS again FROM model) SELECT * EXCLUDE (again) FROM again WHERE count <= 0 OR context_count <= 0 OR count > context_count OR probability_millionths NOT BETWEEN 1 AND 1000000 OR again > 1"
+        keyed = BROKEN[n]
+        q[f"{name}_violations_inline"] = lambda s, d, n=n: ngrams.violations(BROKEN[n].frame(s), n)
+        sql[f"{name}_violations_inline"] = sql[f"{name}_violations"].replace(f"WITH {raw}", f"WITH {keyed.sql}").replace("FROM model)", f"FROM {keyed.name})")
     return q, sql
 
 
@@ -125,9 +143,11 @@ QUERIES = {
     "sentence_dups": lambda s, d: corpus.sentence_duplicates(docs(s, d)),
     "partition_docs": lambda s, d: corpus.partition_documents(docs(s, d)),
     "partition_leakage": lambda s, d: corpus.leakage(corpus.partition_documents(docs(s, d))),
+    "partition_groups": lambda s, d: corpus.partition_documents(docs(s, d)).groupBy("partition").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("duplicate_group_id").alias("groups")),
     "inventory": lambda s, d: corpus.inventory(docs(s, d)),
     "token_totals": lambda s, d: corpus.token_totals(docs(s, d)),
-    "corpus_quality": lambda s, d: corpus.quality(docs(s, d), lexicon(s, d)),
+    "corpus_quality": lambda s, d: corpus.quality(docs(s, d), least_documents=LEXICON_DOCUMENTS),
+    "token_breakdown": lambda s, d: corpus.breakdown(docs(s, d), registry(s)),
 }
 KEYED = f"{DOCS}, keyed AS (SELECT corpus_id, document_id, sha256({DOC_KEY}) AS g FROM docs)"
 ORACLE = {
@@ -158,17 +178,22 @@ ORACLE = {
       corpus_id, document_id, g AS duplicate_group_id, count(*) OVER w > 1 AS is_duplicate,
       first_value(corpus_id) OVER w2 AS canonical_corpus_id, first_value(document_id) OVER w2 AS canonical_document_id
       FROM keyed WINDOW w AS (PARTITION BY g), w2 AS (PARTITION BY g ORDER BY corpus_id, document_id)""",
-    "partition_leakage": "SELECT '' AS duplicate_group_id, 0::BIGINT AS partitions WHERE false",
+    "partition_leakage": f"""WITH {KEYED}, p AS (SELECT g, CASE WHEN {PARTITION} < 80 THEN 'train' WHEN {PARTITION} < 90 THEN 'development' ELSE 'evaluation' END AS partition FROM keyed)
+      SELECT g AS duplicate_group_id, count(DISTINCT partition) AS partitions FROM p GROUP BY 1 HAVING count(DISTINCT partition) > 1""",
+    "partition_groups": f"""WITH {KEYED}, p AS (SELECT g, document_id, CASE WHEN {PARTITION} < 80 THEN 'train' WHEN {PARTITION} < 90 THEN 'development' ELSE 'evaluation' END AS partition FROM keyed)
+      SELECT partition, count(*) AS documents, count(DISTINCT g) AS groups FROM p GROUP BY 1""",
     "inventory": f"""WITH {SENTENCES}, {WORDS} SELECT corpus_id, d.documents, d.sentences, w.tokens, w.distinct_tokens FROM
       (SELECT corpus_id, count(*) AS documents, sum(len(s))::BIGINT AS sentences FROM pieces GROUP BY 1) d
       JOIN (SELECT corpus_id, count(*) AS tokens, count(DISTINCT word) AS distinct_tokens FROM words GROUP BY 1) w USING (corpus_id)""",
     "token_totals": f"WITH {DOCS}, {WORDS} SELECT lang, corpus_id, count(*) AS tokens FROM words GROUP BY ROLLUP (lang, corpus_id)",
     "corpus_quality": f"""WITH {LEXICON}, c AS (SELECT corpus_id, {TOKEN_CLASS} AS class, word IN (SELECT word FROM lexicon) AS known FROM words),
       keyed AS (SELECT corpus_id, document_id, row_number() OVER (PARTITION BY sha256({DOC_KEY}) ORDER BY corpus_id, document_id) AS k FROM docs)
-      SELECT corpus_id, tokens, known_tokens, latin_tokens, other_tokens, duplicate_members FROM
+      SELECT a.corpus_id, tokens, known_tokens, latin_tokens, other_tokens, duplicate_members FROM
       (SELECT corpus_id, count(*) AS tokens, count(*) FILTER (known) AS known_tokens, count(*) FILTER (class = 'latin') AS latin_tokens,
-              count(*) FILTER (class <> 'latin') AS other_tokens FROM c GROUP BY 1)
-      LEFT JOIN (SELECT corpus_id, count(*) FILTER (k > 1) AS duplicate_members FROM keyed GROUP BY 1) USING (corpus_id)""",
+              count(*) FILTER (class <> 'latin') AS other_tokens FROM c GROUP BY ROLLUP (corpus_id)) a
+      LEFT JOIN (SELECT corpus_id, count(*) FILTER (k > 1) AS duplicate_members FROM keyed GROUP BY ROLLUP (corpus_id)) b ON a.corpus_id IS NOT DISTINCT FROM b.corpus_id""",
+    "token_breakdown": f"""WITH {DOCS}, {WORDS}, {REGISTRY.sql}, w AS (SELECT license, CASE WHEN contains(notes, 'dialogue') OR contains(corpus_name, 'Dialogue') THEN 'dialogue' ELSE 'prose' END AS domain
+      FROM words JOIN registry USING (corpus_id)) SELECT 'license' AS kind, license AS name, count(*) AS tokens FROM w GROUP BY 2 UNION ALL SELECT 'domain', domain, count(*) FROM w GROUP BY 2""",
 }
 _q, _s = _gram_queries()
 QUERIES |= _q
