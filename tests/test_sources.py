@@ -17,9 +17,9 @@ def entry(word):
 
 
 def test_corpora(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("Rojbaş.\n  Spas.\n", encoding="utf-8")
+    (tmp_path / "a.txt").write_text("Derî.\n  Nan.\n", encoding="utf-8")
     rows = files.import_corpus(spark, str(tmp_path / "a.txt"), "c").orderBy("source_record").collect()
-    assert [(r.document_id, r.text) for r in rows] == [("a.txt:1", "Rojbaş."), ("a.txt:2", "Spas.")]
+    assert [(r.document_id, r.text) for r in rows] == [("a.txt:1", "Derî."), ("a.txt:2", "Nan.")]
     (tmp_path / "b.txt").write_text("x\n\ny\n")
     with pytest.raises(PySparkException):
         files.import_corpus(spark, str(tmp_path / "b.txt"), "c").collect()

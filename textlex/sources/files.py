@@ -34,10 +34,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_corpus(spark: SparkSession, path: str, corpus_id: str, document_format: str = "one-document-per-line", id_field: str = "id", text_field: str = "text") -> DataFrame:
-    """Canonical documents of a corpus. Empty documents, wrong fields and repeated ids are errors."""
+    """Canonical documents of a corpus. Empty documents and wrong fields are errors; `repeated_ids` finds ids that repeat."""
     lines = read_lines(spark, path)
     if document_format == "jsonl":
-        text, key = F.get_json_object("line", f"$.{text_field}"), F.get_json_object("line", f"$.{id_field}")
+        whole = F.from_json("line", "map<string,string>")  # numbers are no texts
+        quoted = lambda f: F.col("line").rlike(rf'"{f}"\s*:\s*"')
+        text, key = F.when(quoted(text_field), whole.getItem(text_field)), F.when(quoted(id_field), whole.getItem(id_field))
     elif document_format == "one-document-per-line":
         text, key = F.col("line"), F.col("line_num").cast("string")
     else:
