@@ -17,12 +17,14 @@ shuffle, with equal results.
 No link is lost between texts that share a band:
 1. Texts with the same words are one node, by 128 bits of two independent hashes of the whole sequence.
 2. In buckets of up to SMALL nodes the pairs are rows, each different one once.
-3. In larger ones each node is compared with the bucket's lead, a part of the nodes in each task. In what is a group of copies
-   this leaves one component.
-4. Then all pairs of such a bucket that aren't in one component yet are compared, unless they share an earlier band: nodes are dealt into
-   parts of about BLOCK nodes or CHARS characters, large components into parts of their own, and each two parts that
-   aren't of one component are a task's block, in which the overlaps are matrix products. So a group of
-   copies costs work in proportion to its size, and only nodes that share a band and are not linked cost pairs.
+3. A larger bucket has a lead, its node with the most rows, and each of its nodes is compared with that, a part of the nodes in
+   each task. In what is a group of copies this leaves one component.
+4. The nodes of all buckets of one lead are a pool. Its pairs are compared, but for those that are both linked to the lead,
+   and those whose distances from the lead differ by more than a link's distance may be: one minus weighted Jaccard similarity
+   is a metric, so these aren't links. Nodes are dealt into parts of about BLOCK nodes or CHARS characters, of one
+   range of distances, all linked to the lead or none, and each two parts that have pairs left are a task's block, in
+   which the overlaps are matrix products. So a group of copies costs work in proportion to its size, and only nodes that share a
+   band, are not linked and are equally far from their lead cost pairs.
 
 Defined cases: texts of one to four words are linked to texts with the same words only, and texts without
 words (null counts as empty) to equal ones. The class id is the least doc_id of the class (a null is the largest); that row
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlex.llm.arrow import slices, small_batches
+from textlex.llm.arrow import release, slices, small_batches
 from textlex.llm.components import components
 from textlex.llm.tables import join_groups, written
 from textlex.llm.words import U64, Hasher, mix, of_sequences, packed, unpacked, windows
@@ -128,6 +130,7 @@ class Sampler:
         self.r, self.per_r, self.b = r.astype(np.float32), (1 / r).astype(np.float32), b.astype(np.float32)
         self.base = (log_c + r * b - r).astype(np.float32)  # the rank where t is 0
         self.factor = mix(np.arange(1, hashes + 1, dtype=U64)) | U64(1)
+        self.known: dict[np.float32, np.ndarray] = {}
 
     @staticmethod
     def _rank(x: np.ndarray) -> np.ndarray:
@@ -135,17 +138,29 @@ class Sampler:
         bits = x.view(np.uint32)
         return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(U64) << U64(32)
 
+    def _keys(self, pick, log_w) -> np.ndarray:
+        """Rank in the upper half, and what tells t in the lower one."""
+        t = np.floor(log_w * self.per_r[pick] + self.b[pick])
+        shown = t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+        return self._rank(self.base[pick] - self.r[pick] * t) | shown
+
     def samples(self, g: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
         """A row of 32-bit sample names for each text; start: of each text's first shingle."""
         out = np.empty((len(start), len(self.factor)), np.uint32)
-        name = (g & U64(0xFFFFFFFF)).astype(np.uint32)
-        log_w = np.log(weight).astype(np.float32)
+        name = g & U64(0xFFFFFFFF)
+        log_w = np.log(weight.astype(np.float32))
+        # most shingles are rare and occur once: the keys of their weight are looked up
+        common = np.float32(np.median(log_w))
+        if common not in self.known:
+            self.known = {common: self._keys(np.arange(1 << 16), common)}
+        plain, odd = self.known[common], np.flatnonzero(log_w != common)
+        log_odd = log_w[odd]
         for k, factor in enumerate(self.factor):
-            pick = ((g * factor) >> U64(48)).astype(np.int32)
-            t = np.floor(log_w * self.per_r[pick] + self.b[pick])
-            rank = self._rank(self.base[pick] - self.r[pick] * t)
-            shown = name ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
-            out[:, k] = np.minimum.reduceat(rank | shown, start).astype(np.uint32)
+            pick = (g * factor) >> U64(48)
+            key = plain[pick]
+            if len(odd):
+                key[odd] = self._keys(pick[odd], log_odd)
+            out[:, k] = np.minimum.reduceat(key ^ name, start).astype(np.uint32)
         return out
 
     def bands(self, g, weight, start) -> np.ndarray:
@@ -341,16 +356,18 @@ def _similar(idf, threshold: float):
     return run
 
 
-def _led(idf, threshold: float):
-    """Of a lead (the row whose node is the lead) and a part of its candidates: those that are similar."""
+def _led(idf):
+    """Of a lead (the row whose node is the lead) and a part of its candidates: how far each is from it."""
 
     def run(rows: pa.Table) -> pa.Table:
         weights = _Weighted(idf.value)
         lead = rows.column("u")[0].as_py()
         every = list(zip(*(rows.column(c).to_pylist() for c in ("node", "body", "listed")), strict=True))
         own = next(weights.of(*x) for x in every if x[0] == lead)
-        near = [n for n, body, listed in every if n != lead and similarity(own, weights.of(n, body, listed)) >= threshold]
-        return pa.Table.from_batches([_linked([lead] * len(near), near)])
+        rest = [x for x in every if x[0] != lead]
+        away = [1 - similarity(own, weights.of(*x)) for x in rest]
+        release()
+        return pa.table({"u": pa.array([lead] * len(rest), pa.int64()), "node": pa.array([x[0] for x in rest], pa.int64()), "away": pa.array(away, pa.float64())})
 
     return run
 
@@ -387,23 +404,15 @@ def _spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _block(idf, threshold: float):
-    """Of two parts of a bucket (or one): links that span the components of its links."""
+    """Of two parts of a pool (or one): links that span the components of its links."""
 
     def run(rows: pa.Table) -> pa.Table:
         factor, unpack = idf.value, zstandard.ZstdDecompressor()
-        column = lambda c: rows.column(c).to_numpy()
-        node, part, few, label = column("node"), column("part"), column("few"), column("label")
-        place, i, j = rows.column("place")[0].as_py(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        small = (few[:, None] >> np.arange(BANDS)) & 1 == 1
+        node, part, away = (rows.column(c).to_numpy() for c in ("node", "part", "away"))
+        linked = rows.column("linked").to_numpy(zero_copy_only=False)
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         one, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        test = label[one][:, None] != label[other][None, :]
-        for b in range(BANDS):  # pairs of a small bucket are compared there, others in their first band
-            same = bands[one, b][:, None] == bands[other, b][None, :]
-            if b < place:
-                test &= ~same
-            elif b > place:
-                test &= ~(same & small[one, b][:, None])
+        test = ~(linked[one][:, None] & linked[other][None, :]) & (np.abs(away[one][:, None] - away[other][None, :]) <= 1 - threshold + NEAR)
         if i == j:
             test = np.triu(test, 1)
         one, other, test = one[test.any(1)], other[test.any(0)], test[test.any(1)][:, test.any(0)]
@@ -429,6 +438,7 @@ def _block(idf, threshold: float):
             u, v = one[x], other[y]
         lead = _spanning(n, u, v)
         has = np.flatnonzero(lead != np.arange(n))
+        release()
         return pa.Table.from_batches([_linked(node[has], node[lead[has]])])
 
     return run
@@ -444,38 +454,38 @@ def _small_links(members: DataFrame, texts: DataFrame, idf, threshold: float) ->
     return written(both.mapInArrow(_similar(idf, threshold), "u long, v long"), "small-links")
 
 
-def _parts(size: str = "size"):
-    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(size) / CHARS)).cast("int")
+def _parts(n: str = "n", size: str = "size"):
+    """Parts for so many nodes with so many characters."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / CHARS)).cast("int")
 
 
-def _lead_links(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The links of each large bucket's lead, its node with the most rows."""
-    leads = members.groupBy("bucket").agg(F.max(F.struct("rows", "node")).getField("node").alias("u"))
-    pairs = members.select("bucket", "node", "size").join(leads, "bucket").filter("node <> u").select("u", "node", "size").distinct()
-    pairs = written(pairs, "lead-pairs")
-    parts = pairs.groupBy("u").agg(_parts().alias("parts"))
-    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("u", "part", F.col("u").alias("node"))
-    dealt = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node").unionByName(own)
+def _lead_distances(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(u, node, size, away): each node of the large buckets of lead u and how far it is from it."""
+    sizes = texts.select("node", "size")
+    pairs = written(members.filter("node <> u").select("u", "node").distinct().join(sizes, "node"), "lead-pairs")
+    pools = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).select("u", _parts("n", "all").alias("parts"))
+    own = pools.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("u", "part", F.col("u").alias("node"))
+    dealt = pairs.join(pools, "u").select("u", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node").unionByName(own)
     rows = dealt.join(texts.select("node", "body", "listed"), "node")
-    return written(rows.groupBy("u", "part").applyInArrow(_led(idf, threshold), "u long, v long"), "lead-links")
-
-
-def _large_links(members: DataFrame, nodes: DataFrame, few: DataFrame, found: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The links among nodes of large buckets that aren't in one component of `found` yet."""
-    members = members.select("bucket", "place", "node", "size").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    groups = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), _parts().alias("parts")).filter(F.col("n") >= BLOCK / 2)
-    members = members.join(groups.drop("n"), ["bucket", "label"], "left").withColumn("own", F.when(F.col("parts").isNotNull(), F.col("label")))
-    mixed = members.filter("own is null").groupBy("bucket").agg(_parts().alias("mixed"))
-    members = members.join(mixed, "bucket", "left").withColumn("k", F.pmod(F.xxhash64("node"), F.coalesce("parts", "mixed")).cast("int"))
-    members = written(members.select("bucket", "place", "node", "label", "own", F.xxhash64("own", "k").alias("part")), "dealt")
-    parts = members.select("bucket", "part", "own").distinct()
-    left, right = parts.select("bucket", F.col("part").alias("i"), F.col("own").alias("a")), parts.select("bucket", F.col("part").alias("j"), F.col("own").alias("b"))
-    blocks = left.join(right, "bucket").filter("i <= j and (a is null or b is null or a <> b)").select("bucket", "i", "j")
-    blocks = written(blocks, "blocks")
-    ends = blocks.select("*", F.col("i").alias("part")).unionByName(blocks.filter("i <> j").select("*", F.col("j").alias("part")))
-    dealt = members.join(ends, ["bucket", "part"]).select("bucket", "i", "j", "place", "part", "node", "label")
-    more = texts.select("node", "body", "listed").join(nodes.select("node", "bands"), "node").join(few, "node", "left").withColumn("few", F.coalesce("few", F.lit(0)).cast("long"))
-    return written(dealt.join(more, "node").groupBy("bucket", "i", "j").applyInArrow(_block(idf, threshold), "u long, v long"), "block-links")
+    found = written(rows.groupBy("u", "part").applyInArrow(_led(idf), "u long, node long, away double"), "lead-distances")
+    lead = found.select("u").distinct().select("u", F.col("u").alias("node"), F.lit(0.0).alias("away"))
+    return written(found.unionByName(lead).join(sizes, "node"), "pools")
+
+
+def _pool_links(away: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """The links among nodes of a pool that aren't both linked to its lead."""
+    step = (1 - threshold + NEAR) / 2  # so links lie in ranges of distances that are two apart at most
+    kind = ["u", "range", "linked"]
+    rows = away.withColumns({"range": F.floor(F.col("away") / step).cast("int"), "linked": F.col("away") <= 1 - threshold})
+    sizes = rows.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).select(*kind, _parts("n", "all").alias("parts"))
+    part = lambda k: F.xxhash64("range", "linked", k)
+    parts = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", part(F.col("k")))
+    side = lambda name: parts.select("u", F.col("part").alias(name), F.col("range").alias(f"{name}_range"), F.col("linked").alias(f"{name}_linked"))
+    blocks = side("i").join(side("j"), "u").filter("i <= j and abs(i_range - j_range) <= 2 and not (i_linked and j_linked)").select("u", "i", "j")
+    ends = blocks.withColumn("part", F.explode(F.array_distinct(F.array("i", "j"))))
+    dealt = rows.join(sizes, kind).withColumn("part", part(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    dealt = dealt.select("u", "part", "node", "away", "linked").join(ends, ["u", "part"])
+    return written(dealt.join(texts.select("node", "body", "listed"), "node").groupBy("u", "i", "j").applyInArrow(_block(idf, threshold), "u long, v long"), "pool-links")
 
 
 def _classes(docs: DataFrame, threshold: float, small: int, listed: int) -> tuple[DataFrame, DataFrame, int]:
@@ -502,20 +512,18 @@ def _classes(docs: DataFrame, threshold: float, small: int, listed: int) -> tupl
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     nodes = named.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = nodes.filter("bands is not null").select("node", "rows", F.posexplode("bands").alias("place", "bucket"))
-    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = written(members.join(shared, "bucket"), "members")
+    members = nodes.filter("bands is not null").select("node", "rows", F.explode("bands").alias("bucket"))
+    lead = F.max(F.struct("rows", "node")).getField("node").alias("u")
+    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), lead).filter("n > 1"), "buckets")
+    members = written(members.drop("rows").join(shared, "bucket"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "h1", "h2", F.col("first.doc_id").alias("doc_id")), "node")
     bodies = docs.mapInArrow(_named(), T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("size", T.LongType()), ("body", T.BinaryType()), ("listed", T.BinaryType()))), *_HASHES]))
     same = [bodies[c].eqNullSafe(wanted[c]) for c in ("h1", "h2", "doc_id")]  # so that copies with other ids aren't on one key
     texts = written(bodies.join(wanted, same).select("node", "size", "body", "listed").dropDuplicates(["node"]), "texts")
-    in_small, in_large = members.filter(F.col("n") <= small), members.filter(F.col("n") > small).join(texts.select("node", "size"), "node")
-    links = _small_links(in_small, texts, idf, threshold).unionByName(_lead_links(in_large, texts, idf, threshold))
-    found = written(components(links), "components")
-    few = in_small.groupBy("node").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("few"))
-    blocks = _large_links(in_large, nodes, few, found, texts, idf, threshold)
-    found = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(blocks)
-    found = written(components(found), "components")
+    links = _small_links(members.filter(F.col("n") <= small), texts, idf, threshold)
+    away = _lead_distances(members.filter(F.col("n") > small), texts, idf)
+    near = away.filter((F.col("away") <= 1 - threshold) & (F.col("u") != F.col("node"))).select("u", F.col("node").alias("v"))
+    found = written(components(links.unionByName(near).unionByName(_pool_links(away, texts, idf, threshold))), "components")
 
     nodes = nodes.select("h1", "h2", "node", "first", "rows").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = written(nodes, "node-classes")
