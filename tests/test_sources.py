@@ -30,6 +30,21 @@ def test_corpora(spark, tmp_path):
     assert files.manifest_difference(sums, sums).count() == 0 and files.manifest_difference(sums, sums.limit(1)).count() == 2
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = {f"f{k}.txt": [f"line {k} {j} " + "x" * (j % 50) for j in range(2000)] for k in range(3)}
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\r\n".join(rows) + "\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = files.read_lines(spark, str(tmp_path / "*.txt")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.source_file, r.line_num, r.line) for r in got) == sorted((n, j + 1, x) for n, rows in lines.items() for j, x in enumerate(rows))
+    assert len({r.source_sha256 for r in got}) == 3
+
+
 def test_lexicon_and_cases(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text(json.dumps(ENTRY) + "\n\n")
     assert files.read_lexicon(spark, str(tmp_path / "l.jsonl")).first().sources == []

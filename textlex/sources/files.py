@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlex.functions import ids
@@ -26,11 +27,27 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, empty) for c in ("variants", "sources", "regions")})
 
 
+def _path(c: Column) -> Column:
+    return F.regexp_replace(c, "^file:/+", "file:/")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, source_sha256, line_num (from 1), line. A file is one record, as line numbers need its start; corpora are many files."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), F.sha2("content", 256).alias("source_sha256"), F.decode("content", "UTF-8").alias("t"))
-    lines = F.split(F.regexp_replace(F.regexp_replace("t", r"\n\z", ""), r"\r\n", "\n"), "\n")
-    return files.select("source_file", "source_sha256", F.posexplode(lines).alias("p", "line")).select("source_file", "source_sha256", (F.col("p") + 1).cast("long").alias("line_num"), "line")
+    """source_file, source_sha256, line_num (from 1), line.
+
+    A file is read in splits: lines are numbered in each, and a split starts after the lines of those before it. Hashes are of whole
+    files, so a file's size is bounded by a row's (2 GB); corpora are many files.
+    """
+    meta = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        _path(meta.getField("file_path")).alias("path"), meta.getField("file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    sizes = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each split
+    first = sizes.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(W.partitionBy("path", "block").orderBy("id"))
+    lines = raw.withColumn("k", place).join(first, ["path", "block"])
+    hashes = spark.read.format("binaryFile").load(path).select(_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("source_sha256"))
+    return lines.join(hashes, "path").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), "source_sha256", (F.col("first") + F.col("k")).alias("line_num"), "line")
 
 
 def import_corpus(spark: SparkSession, path: str, corpus_id: str, document_format: str = "one-document-per-line", id_field: str = "id", text_field: str = "text") -> DataFrame:
