@@ -53,9 +53,9 @@ def _mask(key: Column) -> Column:
 def bloom(keys: DataFrame, blocks: int) -> DataFrame:
     """One row with the filter of a column `key`: an array of `blocks` longs."""
     filled = keys.groupBy(_block(F.col("key"), blocks).alias("b")).agg(F.bit_or(_mask(F.col("key"))).alias("mask"))
-    zero = F.lit(0).cast("long")
-    words = filled.agg(F.map_from_entries(F.collect_list(F.struct("b", "mask"))).alias("w"))
-    return words.select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.coalesce(F.try_element_at("w", b), zero)).alias("bloom"))
+    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("b")).join(filled, "b", "left")
+    word = F.struct("b", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    return every.agg(F.array_sort(F.collect_list(word)).getField("mask").alias("bloom"))
 
 
 def might_contain(filter_array: Column, key: Column, blocks: int) -> Column:
